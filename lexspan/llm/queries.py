@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, langid, minhash, packing, quality_rules, reply_trees, substring
+from . import classifier, decontaminate, langid, minhash, ngram_lm, packing, quality_rules, reply_trees, substring, suffix_array
 from ._spark import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,14 +44,25 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.perplexity(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_reply_trees": op2_reply_trees,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_language_id": op6_language_id,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\x0b\f]+'), lambda x: x <> '')"
@@ -103,5 +118,6 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": REPEATED_SPANS_SQL,
     "op2_reply_trees": REPLY_TREES_SQL,
     "op4_quality_rules": QUALITY_SQL,
+    "op5_suffix_array_dedup": REPEATED_SPANS_SQL,
     "op8_minhash_near_dedup": NEAR_GROUPS_SQL,
 }
