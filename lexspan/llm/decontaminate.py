@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import ready_to_checkpoint
+from ._spark import free_name, ready_to_checkpoint
 
 U64 = np.uint64
 WINDOW = 8
@@ -254,7 +254,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     """The rows of docs that leak no item, with all their columns; see leaks().
     Rows of a null doc_id are judged by their text."""
     ready_to_checkpoint(docs.sparkSession)
-    found = _leaks(docs, benchmark, window, share, tokens, broadcast_bytes).select(F.col("doc_id").alias("_leak"), F.col("th").alias("_th")).distinct().checkpoint()
+    who, th = free_name(docs, "_leak"), free_name(docs, "_th")
+    found = _leaks(docs, benchmark, window, share, tokens, broadcast_bytes).select(F.col("doc_id").alias(who), F.col("th").alias(th)).distinct().checkpoint()
     if found.count() * 16 <= broadcast_bytes:
         found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & F.xxhash64("text").eqNullSafe(F.col("_th")), "left_anti")
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(who)) & F.xxhash64("text").eqNullSafe(F.col(th)), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._components import components
-from ._spark import ready_to_checkpoint
+from ._spark import free_name, ready_to_checkpoint
 
 U64 = np.uint64
 SHINGLE = 3
@@ -215,13 +215,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     """
     member = _members(docs, shingle, threshold, bands, band_rows, broadcast_bytes).checkpoint()
     best = member.where("doc_id = group_id").groupBy("group_id").agg(F.min("th").alias("best"))
-    judged = member.join(best, "group_id").groupBy(F.col("doc_id").alias("_member"), F.col("th").alias("_th"))
-    judged = judged.agg(F.max((F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("best"))).alias("_stays"), F.count("*").alias("_rows")).checkpoint()
-    n = judged.agg(F.count("*").alias("n"), F.count_if("_stays AND _rows > 1").alias("more")).first()
+    who, th = free_name(docs, "_member"), free_name(docs, "_th")
+    judged = member.join(best, "group_id").groupBy(F.col("doc_id").alias(who), F.col("th").alias(th))
+    judged = judged.agg(F.max((F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("best"))).alias("stays"), F.count("*").alias("rows")).checkpoint()
+    again = F.expr("stays AND rows > 1")
+    n = judged.agg(F.count("*").alias("n"), F.count_if(again).alias("more")).first()
     small = F.broadcast if n["n"] * 32 <= broadcast_bytes else (lambda x: x)
-    here = (F.col("doc_id").cast("long") == F.col("_member")) & (F.xxhash64("text") == F.col("_th"))
-    kept = docs.join(small(judged.where("NOT _stays OR _rows > 1").select("_member", "_th")), here, "left_anti")
+    here = (F.col("doc_id").cast("long") == F.col(who)) & (F.xxhash64("text") == F.col(th))
+    kept = docs.join(small(judged.where("NOT stays OR rows > 1").select(who, th)), here, "left_anti")
     if n["more"]:  # repeated rows of the document that stays
-        again = docs.join(small(judged.where("_stays AND _rows > 1")), here)
-        kept = kept.unionByName(again.dropDuplicates(["_member", "_th"]).select(docs.columns))
+        repeated = docs.join(small(judged.where(again).select(who, th)), here)
+        kept = kept.unionByName(repeated.dropDuplicates([who, th]).select(docs.columns))
     return kept

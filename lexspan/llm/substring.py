@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import chunked, in_order, text_bytes
+from ._spark import chunked, free_name, in_order, text_bytes
 
 U64 = np.uint64
 WINDOW = 50
@@ -324,7 +324,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, c
     becomes empty.  Nulls stay null.
     """
     names = docs.columns
-    if "_chunk" in names:
-        return without_repeats(docs.withColumnRenamed("_chunk", "_chunk_of_input"), window, depth, chunk_bytes).withColumnRenamed("_chunk_of_input", "_chunk")
+    if "_chunk" in [c.lower() for c in names]:
+        other = free_name(docs, "_chunk")
+        return without_repeats(docs.withColumnRenamed("_chunk", other), window, depth, chunk_bytes).toDF(*names)
     base, answers, bits = _plan(docs, window, depth, chunk_bytes)
     return base.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_cleaned(window, depth, bits, names), docs.schema)
