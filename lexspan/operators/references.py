@@ -35,14 +35,19 @@ def highest_stage(docs: DataFrame, by_folder: bool = True) -> DataFrame:
     return docs.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def parsed(refs: DataFrame) -> DataFrame:
+    """ref_id, ref_text and the citation's fields.  The generator evaluates the
+    patterns once a row, which a projection on top of another would not."""
+    return refs.select("ref_id", "ref_text", F.inline(F.array(parse_citation(F.col("ref_text")))))
+
+
 def candidates(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Best corpus documents for each parsable reference: ref_id, doc_id, score, tiebreak.
 
     A title of the right parser scores 3, of another 2; a section that is the
     cited one, or covers it, or the cited part, raises that to 5, 4 and 5 (3, 2
     and 3).  Titles are joined by equality, sections by their prefixes."""
-    cited = refs.select("ref_id", parse_citation(F.col("ref_text")).alias("c")).select("ref_id", "c.*").where("form IS NOT NULL")
-    cited = cited.select("ref_id", F.coalesce("usc_title", "cfr_title").alias("title"), F.when(F.col("usc_title").isNotNull(), "uslm").otherwise("cfr").alias("wants"), F.col("usc_section").alias("section"), F.col("cfr_part").alias("part")).where("title IS NOT NULL")
+    cited = parsed(refs).select("ref_id", F.coalesce("usc_title", "cfr_title").alias("title"), F.when(F.col("usc_title").isNotNull(), "uslm").otherwise("cfr").alias("wants"), F.col("usc_section").alias("section"), F.col("cfr_part").alias("part")).where("title IS NOT NULL")
     titles = corpus.select("doc_id", "parser_type", F.explode(F.coalesce(F.col("org_keys")["title"], F.array())).alias("title")).distinct()
     met = cited.join(titles, "title").withColumn("right_type", F.col("wants") == F.col("parser_type"))
     sections = corpus.select("doc_id", F.explode(F.coalesce(F.col("content_items")["section"], F.array())).alias("designator")).distinct()
@@ -61,12 +66,11 @@ def resolve(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Outcome of each reference: resolved by one candidate, ambiguous by
     several, not_in_corpus by none; what can't be parsed stays unresolved."""
     best = candidates(refs, corpus).groupBy("ref_id").agg(F.count("*").alias("n_candidates"), F.min("doc_id").alias("least"), F.max("score").alias("score"))
-    c = parse_citation(F.col("ref_text"))
-    rows = refs.select("ref_id", "ref_text", c.alias("c")).join(best, "ref_id", "left")
+    rows = parsed(refs).join(best, "ref_id", "left")
     n = F.coalesce("n_candidates", F.lit(0))
     one = n == 1
-    number = F.coalesce(F.col("c.usc_section"), F.col("c.cfr_section"))
-    status = F.when(F.col("c.form").isNull(), "unresolved").when(n == 0, "not_in_corpus").when(one, "resolved").otherwise("ambiguous")
+    number = F.coalesce("usc_section", "cfr_section")
+    status = F.when(F.col("form").isNull(), "unresolved").when(n == 0, "not_in_corpus").when(one, "resolved").otherwise("ambiguous")
     return rows.select("ref_id", status.alias("status"), n.cast("int").alias("n_candidates"), F.coalesce("score", F.lit(0)).alias("score"), F.when(one, F.col("least")).alias("target_doc_id"), F.when(one & number.isNotNull(), "section").alias("target_item_type"), F.when(one, number).alias("target_item_number"))
 
 

@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lexspan.plans import definition_queries, queue_queries, reference_queries, source_queries, text_queries, tree_queries
+
+_MODULES = (reference_queries, tree_queries, definition_queries, text_queries, queue_queries, source_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
