@@ -1,9 +1,10 @@
 """Chat formatting of reply trees.
 
-Messages name their parent; iterative self-joins follow the tree from the roots
-down, one level a round, carrying only ids and scores.  The paths from root to
-leaf are ranked in each tree, and the texts are fetched once, for the chosen
-paths.
+Messages name their parent.  Iterative self-joins double, round by round, how
+far each message sees up its branch, and let every leaf collect the messages
+above it, so a thread of depth d takes log2(d) rounds, not d.  Only ids and
+scores travel.  The paths from root to leaf are ranked in each conversation, and the texts are
+fetched once, for the chosen paths.
 """
 
 from __future__ import annotations
@@ -60,26 +61,29 @@ def conversations(messages: DataFrame, top: int | None = TOP) -> DataFrame:
     first = Window.partitionBy("conv_id", "msg_id").orderBy(F.desc("score"), F.asc_nulls_first("role"), F.asc_nulls_first("text"), F.asc_nulls_first("parent_id"))
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     node = rows.select("conv_id", "msg_id", "parent_id", "score").checkpoint()
-    parent = node.select("conv_id", F.col("msg_id").alias("parent_id"))
-    child = node.select("conv_id", F.col("parent_id").alias("at"), F.col("msg_id").alias("next"), F.col("score").alias("more")).where("at IS NOT NULL")
-    leaf = node.join(child.select("conv_id", F.col("at").alias("msg_id")), ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("at"))
-    root = node.join(parent, ["conv_id", "parent_id"], "left_anti")
-    level = root.select("conv_id", F.col("msg_id").alias("at"), F.array("msg_id").alias("path"), F.col("score").alias("path_score")).checkpoint()
-    levels = [level]
-    for depth in range(1, 1 << 30):
-        level = level.join(child, ["conv_id", "at"]).select("conv_id", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), (F.col("path_score") + F.col("more")).alias("path_score")).checkpoint()
-        if level.isEmpty():
+    known = node.select("conv_id", F.col("msg_id").alias("parent_id"))
+    jump = node.join(known, ["conv_id", "parent_id"]).select("conv_id", F.col("msg_id").alias("at"), F.col("parent_id").alias("up")).checkpoint()
+    root = node.join(jump.select("conv_id", F.col("at").alias("msg_id")), ["conv_id", "msg_id"], "left_anti").select("conv_id", F.col("msg_id").alias("at"))
+    leaf = node.join(jump.select("conv_id", F.col("up").alias("msg_id")), ["conv_id", "msg_id"], "left_anti")
+    # the messages of each leaf's branch, up to 2^round of them, with their distance from the leaf
+    branch = leaf.select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("msg_id").alias("at"), F.lit(0).cast("long").alias("up_by"))
+    largest = node.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
+    step = 1
+    while step < largest:  # no branch is longer, and what goes round a cycle ends here too
+        if jump.isEmpty():
             break
-        levels.append(level)
-    reached = levels[0]
-    for x in levels[1:]:
-        reached = reached.unionByName(x)
-    paths = reached.join(leaf, ["conv_id", "at"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "at"))
-    paths = paths.withColumn("branch_rank", rank)
+        more = branch.join(jump, ["conv_id", "at"]).select("conv_id", "leaf_id", F.col("up").alias("at"), (F.col("up_by") + step).alias("up_by"))
+        branch = branch.unionByName(more).checkpoint()
+        jump = jump.join(jump.select("conv_id", F.col("at").alias("up"), F.col("up").alias("over")), ["conv_id", "up"]).select("conv_id", "at", F.col("over").alias("up")).checkpoint()
+        step *= 2
+    # only branches that reach a root; a cycle has none
+    whole = branch.join(root, ["conv_id", "at"], "left_semi").select("conv_id", "leaf_id", F.col("up_by").alias("depth"))
+    turn = branch.withColumnRenamed("at", "msg_id").join(whole, ["conv_id", "leaf_id"]).join(node.select("conv_id", "msg_id", "score"), ["conv_id", "msg_id"])
+    paths = turn.groupBy("conv_id", "leaf_id").agg(F.sum("score").alias("path_score"))
+    paths = paths.withColumn("branch_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("path_score"), "leaf_id")))
     if top is not None:
         paths = paths.where(F.col("branch_rank") <= top)
-    turn = paths.select("conv_id", F.col("at").alias("leaf_id"), "branch_rank", "path_score", F.posexplode("path").alias("pos", "msg_id"))
+    turn = turn.select("conv_id", "leaf_id", "msg_id", (F.col("depth") - F.col("up_by")).alias("pos")).join(paths, ["conv_id", "leaf_id"])
     said = turn.join(rows.select("conv_id", "msg_id", _chatml(F.col("role"), F.col("text")).alias("said")), ["conv_id", "msg_id"])
     whole = said.groupBy("conv_id", "leaf_id", "branch_rank", "path_score").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("m"))
     return whole.select("conv_id", "leaf_id", "branch_rank", F.size("m").cast("long").alias("n_turns"), "path_score", F.concat_ws("", F.transform("m", lambda m: m["said"])).alias("formatted"))
