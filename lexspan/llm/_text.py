@@ -17,6 +17,7 @@ import xxhash
 U64 = np.uint64
 SPACE = b" \t\n\r\x0b\x0c"
 _PAD = 16
+_PRESS = pa.Codec("zstd", compression_level=1)
 _LONG_WORD = 256
 
 _IS_WORD = np.ones(256, dtype=bool)
@@ -176,6 +177,20 @@ def chars_before(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an integer array by significance; all but the lowest, which are hard to press, are compressed."""
+    cols = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    low, rest = cols[0].tobytes(), cols[1:].tobytes()
+    packed = _PRESS.compress(rest, asbytes=True) if rest else b""
+    return len(x).to_bytes(8, "little") + low + packed
+
+
+def from_planes(b: bytes, kind: type) -> np.ndarray:
+    size, n = np.dtype(kind).itemsize, int.from_bytes(b[:8], "little")
+    rest = _PRESS.decompress(b[8 + n :], n * (size - 1), asbytes=True) if size > 1 and n else b""
+    return np.ascontiguousarray(np.frombuffer(b[8 : 8 + n] + rest, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def put_sorted(x: np.ndarray) -> bytes:
     """Packs sorted unsigned integers as differences, in the fewest bytes that hold them."""
     if not len(x):
@@ -184,12 +199,12 @@ def put_sorted(x: np.ndarray) -> bytes:
     d[0] = 0
     top = int(d.max())
     kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k))
-    return bytes([kind]) + int(x[0]).to_bytes(8, "little") + d.astype(f"<u{kind}").tobytes()
+    return bytes([kind]) + int(x[0]).to_bytes(8, "little") + planes(d.astype(f"<u{kind}"))
 
 
 def get_sorted(b: bytes) -> np.ndarray:
     if not b:
         return np.zeros(0, U64)
-    d = np.frombuffer(b, f"<u{b[0]}", offset=9).astype(U64)
+    d = from_planes(b[9:], np.dtype(f"<u{b[0]}")).astype(U64)
     d[0] = int.from_bytes(b[1:9], "little")
     return np.cumsum(d)

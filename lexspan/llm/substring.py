@@ -174,7 +174,7 @@ def _candidates(n: int, depth: int, bits: int, shards: int) -> Callable[[tuple,
         h1, h2, doc = h1[first], h2[first], doc[first]
         shard = _exact_shard(h1, shards)
         cut = np.r_[_runs(shard), len(shard)]
-        rows = [(key[0].as_py(), depth, int(shard[a]), h1[a:b].tobytes(), h2[a:b].tobytes(), doc[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        rows = [(key[0].as_py(), depth, int(shard[a]), tx.put_sorted(h1[a:b]), h2[a:b].tobytes(), tx.planes(doc[a:b]), counts[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
         return _table(rows, ("_chunk", "kind", "shard", "h1", "h2", "first", "counts"), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4))
 
     return run
@@ -182,7 +182,8 @@ def _candidates(n: int, depth: int, bits: int, shards: int) -> Callable[[tuple,
 
 def _group(key: tuple, t: pa.Table) -> pa.Table:
     """Counts the windows of one shard; answers each chunk in the order it sent them."""
-    sent = [[np.frombuffer(b, k) for b in t[c].to_pylist()] for c, k in (("h1", U64), ("h2", U64), ("first", np.int64), ("counts", np.uint8))]
+    read = (("h1", tx.get_sorted), ("h2", lambda b: np.frombuffer(b, U64)), ("first", lambda b: tx.from_planes(b, np.int64)), ("counts", lambda b: np.frombuffer(b, np.uint8)))
+    sent = [[f(b) for b in t[c].to_pylist()] for c, f in read]
     size = [len(x) for x in sent[0]]
     h1, h2, doc, count = map(np.concatenate, sent)
     order = np.lexsort((doc, h2, h1))
