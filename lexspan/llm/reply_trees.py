@@ -23,8 +23,9 @@ def with_parents(messages: DataFrame) -> DataFrame:
     answers the turn before it.  Where several messages share a turn they are
     alternatives, and the next turn answers the longest (of equally long ones
     the one of the least role and text).  Repeated rows are one message.
-    Result: conv_id, msg_id, parent_id, role, text, score (the text's characters)."""
-    base = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("score")).where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
+    Result: conv_id, msg_id, parent_id, role, text, score (the text's characters).
+    Everything happens within conversations, so the texts move once."""
+    base = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("score")).where("conv_id IS NOT NULL AND turn IS NOT NULL").repartition("conv_id").distinct()
     key = Window.partitionBy("conv_id", "turn").orderBy(F.desc("score"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     base = base.withColumn("alt", F.row_number().over(key) - 1)
     turns = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
