@@ -64,6 +64,26 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
+#: Up to this size a corpus is cut into chunks and shards of the least size.
+SMALL = 16 << 30
+
+
+def growth(size: int) -> float:
+    """How many times SMALL a corpus is, 1 at least.  What all chunks send to all
+    shards comes in as many pieces as there are pairs of them, so that chunks
+    and shards must both grow for the pieces to stay worth sending."""
+    return max(1.0, size / SMALL)
+
+
+def chunk_count(size: int, least: int) -> int:
+    """Chunks of `least` bytes, growing with the cube root of the corpus to 16 times that."""
+    return max(1, -(-size // int(least * min(16.0, growth(size) ** (1 / 3)))))
+
+
+def shard_count(chunks: int) -> int:
+    return min(chunks, 1 << 16)
+
+
 def chunked(docs: DataFrame, n: int, doc_id: str = "doc_id", chunk: str = "_chunk") -> DataFrame:
     """docs hash-partitioned by a chunk number that depends on doc_id alone, so
     that rows that share a doc_id (nulls too) share a chunk.  Several uses of

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import chunked, free_name, in_order, text_bytes
+from ._spark import chunk_count, chunked, free_name, growth, in_order, shard_count, text_bytes
 
 U64 = np.uint64
 WINDOW = 50
 DEPTH = 2
 #: Cells of a sketch row for each window of the corpus, at least.
 LOAD = 8
-#: log2 of the cells in one shard of a sketch row.
+#: log2 of the cells in one shard of a sketch row; up to 6 more for large corpora.
 SHARD_BITS = 22
 CHUNK_BYTES = 4 << 20
 
@@ -284,13 +284,14 @@ def _cleaned(n: int, depth: int, bits: int, columns: list[str]) -> Callable[[tup
 def _plan(docs: DataFrame, window: int, depth: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, int]:
     """Chunked documents, all answers for the chunks, and the bits of a cell."""
     size = text_bytes(docs)
-    chunks = max(1, -(-size // chunk_bytes))
-    shards = chunks
-    # a word takes two bytes at least with the space after it
-    bits = max(SHARD_BITS, int(LOAD * size // 6).bit_length())
+    chunks = chunk_count(size, chunk_bytes)
+    shards = shard_count(chunks)
+    shard_bits = SHARD_BITS + min(6, int(growth(size)).bit_length() // 2)
+    # windows are about as many as words, and a word takes six bytes with its space
+    bits = max(shard_bits, int(LOAD * size // 6).bit_length())
     base = chunked(docs, chunks)
     key = F.col("_chunk")
-    hot = base.groupBy(key).applyInArrow(_sketch(window, depth, bits, SHARD_BITS), _CELLS).groupBy("kind", "shard").applyInArrow(_merge_sketch(SHARD_BITS), _HOT)
+    hot = base.groupBy(key).applyInArrow(_sketch(window, depth, bits, shard_bits), _CELLS).groupBy("kind", "shard").applyInArrow(_merge_sketch(shard_bits), _HOT)
     exact = base.groupBy(key).cogroup(hot.groupBy(key)).applyInArrow(_candidates(window, depth, bits, shards), _GROUPS).groupBy("kind", "shard").applyInArrow(_group, _HOT)
     return base, hot.unionByName(exact), bits
 

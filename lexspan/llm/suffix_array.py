@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import chunked, in_order, text_bytes
+from ._spark import chunk_count, chunked, in_order, shard_count, text_bytes
 
 U64 = np.uint64
 WINDOW = 50
@@ -275,9 +275,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = max(1, -(-text_bytes(docs) // chunk_bytes))
+    chunks = chunk_count(text_bytes(docs), chunk_bytes)
+    shards = shard_count(chunks)
     base = chunked(docs, chunks)
-    hot = base.groupBy("_chunk").applyInArrow(_send(window, anchor, chunks), _SENT).groupBy("shard").applyInArrow(_repeated, _HOT)
+    hot = base.groupBy("_chunk").applyInArrow(_send(window, anchor, shards), _SENT).groupBy("shard").applyInArrow(_repeated, _HOT)
     parts = base.groupBy("_chunk").cogroup(hot.groupBy("_chunk")).applyInArrow(_segments(window, anchor, chunks), _SEGMENTS)
     runs = parts.groupBy("block").applyInArrow(_block(window), _FOUND)
     return runs.groupBy("_chunk").applyInArrow(_join_up(window), "doc_id long, start_word long, end_word long, removable boolean")
