@@ -19,7 +19,7 @@ _STAGE_SUFFIX = "(?:_processed|_stage2_output|_parse_output)$"
 
 def stem(path: F.Column) -> F.Column:
     """File name without directory, suffix and stage."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(?<=.)\.[^.]*$", ""), _STAGE_SUFFIX, "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(?<=.)(?:\.doc)?(?:\.fmx)?\.[^.]*$", ""), _STAGE_SUFFIX, "")
 
 
 def folder(path: F.Column) -> F.Column:
