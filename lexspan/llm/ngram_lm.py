@@ -29,7 +29,7 @@ U64 = np.uint64
 #: n of the n-grams.
 ORDER = 2
 #: n-grams that a task holds before it packs and sends them.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 _BOS, _EOS = (int(tx.mix(np.array([k], U64), 99)[0]) for k in (1, 2))
 _ROOT = U64(0)  # the context of single words
 
@@ -257,7 +257,7 @@ def train(docs: DataFrame, order: int = ORDER, shards: int | None = None) -> Mod
         raise ValueError("order must be 1, 2 or 3")
     spark = docs.sparkSession
     ready_to_checkpoint(spark)
-    shards = shards or 2 * partitions(spark)
+    shards = shards or 4 * partitions(spark)
     folder = scratch(spark, "ngrams")
     rows = docs.select("text").mapInArrow(_count(order, shards), _BLOBS)
     for level in range(order, 0, -1):
