@@ -30,7 +30,9 @@ U64 = np.uint64
 ORDER = 2
 #: n-grams that a task holds before it packs and sends them.
 FLUSH = 1_500_000
-_BOS, _EOS = (int(tx.mix(np.array([k], U64), 99)[0]) for k in (1, 2))
+#: Words are known by the upper 48 bits of their hash, so that six bytes carry one.
+_WORD = U64(0xFFFFFFFFFFFF0000)
+_BOS, _EOS = (int(tx.mix(np.array([k], U64), 99)[0] & _WORD) for k in (1, 2))
 _ROOT = U64(0)  # the context of single words
 
 _BLOBS = "level int, shard int, body binary"
@@ -59,14 +61,14 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return (((h >> U64(40)) * U64(shards)) >> U64(24)).astype(np.int64)
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    """Bytes by significance, so that the compression of shuffles finds the zeros."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+def _pack_words(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8)[:, 2:]).tobytes()
 
 
-def _unbytes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _unpack_words(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(U64).ravel()
 
 
 def _pack(context: np.ndarray, shorter: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
@@ -74,16 +76,16 @@ def _pack(context: np.ndarray, shorter: np.ndarray, word: np.ndarray, count: np.
     start = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     runs = np.diff(np.r_[start, len(context)]).astype(np.uint32)
     short = shorter[start]
-    parts = [tx.put_sorted(context[start]), _bytes(runs), b"" if not short.any() else _bytes(short), _bytes(word), _bytes(count.astype(np.uint32))]
+    parts = [tx.put_sorted(context[start]), tx.planes(runs), b"" if not short.any() else short.tobytes(), _pack_words(word), tx.planes(count.astype(np.uint32))]
     return b"".join(len(p).to_bytes(8, "little") for p in parts) + b"".join(parts)
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     cut = np.r_[40, 40 + np.cumsum([int.from_bytes(b[8 * i : 8 * i + 8], "little") for i in range(5)])]
     c, runs, short, word, count = (b[i:j] for i, j in zip(cut[:-1], cut[1:]))
-    context, n = tx.get_sorted(c), _unbytes(runs, np.uint32)
-    shorter = _unbytes(short, U64) if short else np.zeros(len(context), U64)
-    return np.repeat(context, n), np.repeat(shorter, n), _unbytes(word, U64), _unbytes(count, np.uint32).astype(np.int64)
+    context, n = tx.get_sorted(c), tx.from_planes(runs, np.uint32)
+    shorter = np.frombuffer(short, U64) if short else np.zeros(len(context), U64)
+    return np.repeat(context, n), np.repeat(shorter, n), _unpack_words(word), tx.from_planes(count, np.uint32).astype(np.int64)
 
 
 def _combine(context: np.ndarray, shorter: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,7 +116,7 @@ def sequences(text: pa.Array | pa.ChunkedArray, order: int) -> Iterator[tuple[np
         first = np.r_[0, np.cumsum(size)]
         seq = np.full(int(first[-1]), U64(_BOS))
         row = w.row_of_word()
-        seq[np.arange(len(w)) - w.first[row] + first[row] + order - 1] = w.hash
+        seq[np.arange(len(w)) - w.first[row] + first[row] + order - 1] = w.hash & _WORD
         seq[first[1:][n > 0] - 1] = U64(_EOS)
         yield seq, first, w.row0, n
 

@@ -145,7 +145,7 @@ def test_kneser_ney_is_a_distribution_and_takes_unseen_words(spark):
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(2)
     c = np.sort(rng.integers(0, 1 << 62, 50).astype(np.uint64)).repeat(3)
-    w, n = rng.integers(0, 1 << 63, 150).astype(np.uint64), rng.integers(1, 1 << 31, 150)
+    w, n = rng.integers(0, 1 << 63, 150).astype(np.uint64) & ngram_lm._WORD, rng.integers(1, 1 << 31, 150)
     for got, want in zip(ngram_lm._unpack(ngram_lm._pack(c, c * np.uint64(3), w, n)), (c, c * np.uint64(3), w, n)):
         assert (got == want).all()
 
