@@ -31,6 +31,9 @@ MIN_ITEM = 5
 MIN_SHARE = 0.5
 MIN_TOKENS = 20
 
+#: Bytes that a row of a broadcast table takes in memory, about.
+ROW_BYTES = 200
+
 NUMBER, NAME, UNIT = 1, 2, 3
 UNITS = (
     "mm cm m km inch inches foot feet ft yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -217,7 +220,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, share: float, tok
     size = {r["n"]: r["c"] for r in items.groupBy("n").agg(F.countDistinct("h").alias("c")).collect()}
     known = None
     small = lambda x: x
-    if sum(size.values()) * 8 <= broadcast_bytes:
+    if sum(size.values()) * ROW_BYTES <= broadcast_bytes:
         found = items.select("n", "h").distinct().toArrow()
         n, h = found["n"].to_numpy(), found["h"].to_numpy().view(U64)
         known = {int(k): np.sort(h[n == k]) for k in np.unique(n)}
@@ -256,6 +259,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     ready_to_checkpoint(docs.sparkSession)
     who, th = free_name(docs, "_leak"), free_name(docs, "_th")
     found = _leaks(docs, benchmark, window, share, tokens, broadcast_bytes).select(F.col("doc_id").alias(who), F.col("th").alias(th)).distinct().checkpoint()
-    if found.count() * 16 <= broadcast_bytes:
+    if found.count() * ROW_BYTES <= broadcast_bytes:
         found = F.broadcast(found)
     return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(who)) & F.xxhash64("text").eqNullSafe(F.col(th)), "left_anti")

@@ -35,6 +35,8 @@ THRESHOLD = 0.6
 BANDS = 32
 BAND_ROWS = 4
 UNIVERSE_BITS = 22
+#: Bytes that a row of the tables which may be broadcast takes in memory, about.
+ROW_BYTES = 200
 SEED = 20240607
 
 
@@ -198,7 +200,7 @@ def _members(docs: DataFrame, shingle: int, threshold: float, bands: int, band_r
     edges = bucket.join(least, "band").where("f1 <> least").select(F.col("f1").alias("a"), F.col("least").alias("b"))
     member = components(edges)
     chosen = same.drop("bands").join(member.withColumnRenamed("node", "f1"), "f1").checkpoint()
-    if chosen.count() * 48 <= broadcast_bytes:
+    if chosen.count() * ROW_BYTES <= broadcast_bytes:
         chosen = F.broadcast(chosen)
     exact = docs.join(chosen, "doc_id").groupBy("component").applyInArrow(_verify(shingle, threshold), "f1 long, f2 long, group_id long, size long")
     alone = same.where("n > 1").select("f1", "f2", F.col("doc_id").alias("own_id"))
@@ -220,7 +222,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     judged = judged.agg(F.max((F.col("doc_id") == F.col("group_id")) & (F.col("th") == F.col("best"))).alias("stays"), F.count("*").alias("rows")).checkpoint()
     again = F.expr("stays AND rows > 1")
     n = judged.agg(F.count("*").alias("n"), F.count_if(again).alias("more")).first()
-    small = F.broadcast if n["n"] * 32 <= broadcast_bytes else (lambda x: x)
+    small = F.broadcast if n["n"] * ROW_BYTES <= broadcast_bytes else (lambda x: x)
     here = (F.col("doc_id").cast("long") == F.col(who)) & (F.xxhash64("text") == F.col(th))
     kept = docs.join(small(judged.where("NOT stays OR rows > 1").select(who, th)), here, "left_anti")
     if n["more"]:  # repeated rows of the document that stays
