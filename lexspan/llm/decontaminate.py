@@ -2,7 +2,7 @@
 
 Texts become templates: numbers, names and units turn into typed placeholders.
 Windows of a few template tokens are hash-joined with the benchmark's, and the
-values in the placeholders must then agree: within a document and an item, each
+values in the placeholders must then agree: within an occurrence of an item, each
 value of the item must stand for one value of the document.  That catches
 questions that were copied with other numbers or names, and rejects windows that are
 alike by chance.
@@ -166,8 +166,8 @@ def _doc_windows(lengths: list[int], known: dict[int, np.ndarray] | None) -> Cal
                         at, row, h = at[hit], row[hit], h[hit]
                     if len(at):
                         where = pa.array(i + row)
-                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), _slots(t, at, n)]
-                        yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "doc_slots"])
+                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), pa.array((at - t.first[row]).astype(np.int32)), _slots(t, at, n)]
+                        yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "doc_at", "doc_slots"])
 
     return run
 
@@ -178,7 +178,8 @@ def agreement(windows: list[tuple[int, list[int], list[int]]]) -> tuple[int, boo
     windows: the first token in the item, the item's slots, the document's.
     A value of the item stands for the document's value that it meets in most
     windows (of equal ones the least); a name of the document may stand for
-    one of the item only.  Windows with another pair don't count."""
+    one of the item only.  Windows with another pair don't count, unless all
+    their values are the item's own."""
     pairs: Counter = Counter()
     for _, mine, theirs in windows:
         pairs.update((a, b) for a, b in zip(mine, theirs) if a)
@@ -191,20 +192,43 @@ def agreement(windows: list[tuple[int, list[int], list[int]]]) -> tuple[int, boo
     covered: set[int] = set()
     other = False
     for at, mine, theirs in windows:
-        if all(best.get(a) == b for a, b in zip(mine, theirs) if a):
+        differs = mine != theirs
+        if not differs or all(best.get(a) == b for a, b in zip(mine, theirs) if a):
             covered.update(range(at, at + len(mine)))
-            other |= any(a != b for a, b in zip(mine, theirs))
+            other |= differs
     return len(covered), other
 
 
+def occurrences(windows: list[tuple[int, int, list[int], list[int]]], size: int) -> list[list[tuple[int, list[int], list[int]]]]:
+    """The windows of an item of `size` tokens, given with their first tokens in
+    the document and in the item, by occurrence: those of each distance between
+    the two, chains that go on over words put in or left out, and all together."""
+    straight: dict[int, list] = {}
+    chains: list[list] = []
+    ends: dict[int, tuple[int, int, list]] = {}  # by distance: the last window's first tokens, and the chain
+    for there, at, mine, theirs in sorted(windows):
+        straight.setdefault(there - at, []).append((at, mine, theirs))
+        last = ends.pop(there - at, None)
+        if last is None or there - last[0] > size:
+            ends = {d: x for d, x in ends.items() if there - x[0] <= size}
+            near = min((d for d, x in ends.items() if x[0] < there and x[1] < at), key=lambda d: abs(there - at - d), default=None)
+            last = (there, at, []) if near is None else ends.pop(near)
+            if near is None:
+                chains.append(last[2])
+        last[2].append((at, mine, theirs))
+        ends[there - at] = there, at, last[2]
+    every = [w for g in straight.values() for w in g]
+    return [*straight.values(), *chains, every] if len(straight) > 1 else [every]
+
+
 def _judge(share: float, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        by: dict[tuple[int, int], tuple[int, list]] = {}
-        for item, at, size, mine, theirs in zip(*(t[c].to_pylist() for c in ("item_id", "item_at", "item_tokens", "item_slots", "doc_slots"))):
-            by.setdefault((item, size), (size, []))[1].append((at, mine, theirs))
+        by: dict[tuple[int, int], list] = {}
+        for item, size, *window in zip(*(t[c].to_pylist() for c in ("item_id", "item_tokens", "doc_at", "item_at", "item_slots", "doc_slots"))):
+            by.setdefault((item, size), []).append(tuple(window))
         rows = []
-        for (item, _), (size, windows) in by.items():
-            got, other = agreement(windows)
+        for (item, size), windows in by.items():
+            got, other = max(map(agreement, occurrences(windows, size)), key=lambda x: (x[0], not x[1]))
             if got >= share * size or got >= tokens:
                 rows.append((key[0].as_py(), key[1].as_py(), item, got, size, other))
         cols = zip(*rows) if rows else [[]] * 6
@@ -226,7 +250,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, share: float, tok
         known = {int(k): np.sort(h[n == k]) for k in np.unique(n)}
         small = F.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    met = rows.mapInArrow(_doc_windows(sorted(size), known), "h long, doc_id long, th long, doc_slots array<long>")
+    met = rows.mapInArrow(_doc_windows(sorted(size), known), "h long, doc_id long, th long, doc_at int, doc_slots array<long>")
     return met.join(small(items), "h").groupBy("doc_id", "th").applyInArrow(_judge(share, tokens), "doc_id long, th long, item_id long, covered int, item_tokens int, reparameterised boolean")
 
 
@@ -236,8 +260,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
 
     A document leaks an item if windows of `window` template tokens, with
     consistent placeholders, cover `share` of the item's tokens or `tokens` of
-    them.  reparameterised tells whether some number, name or unit differs from
-    the item's.  Numbers are runs of digits (with . and , inside), names are
+    them.  Placeholders must be consistent within an occurrence of the item, not
+    between several; the one that covers most counts.  reparameterised tells
+    whether some number, name or unit differs there from the item's; it is
+    false if an occurrence where none does covers as many.  Numbers are runs of digits (with . and , inside), names are
     words with a capital that don't open a sentence, and units are the words of
     UNITS after a number.  A window has MIN_LITERALS words at least; an item of
     fewer than `window` tokens must be met whole, and one of fewer than MIN_ITEM

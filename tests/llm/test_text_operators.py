@@ -190,6 +190,26 @@ def test_a_consistent_copy_covers_more_than_an_inconsistent_one(spark):
     assert got[1] > got[2]
 
 
+def test_copies_of_an_item_with_different_values_are_judged_one_by_one(spark):
+    import re
+
+    filler = " . some plain words stand here before and after all of the rest . "
+    text = "So " + ITEM
+
+    def variant(k):
+        names = {"Alice": f"Q{chr(97 + k)}", "Bob": f"V{chr(97 + k)}"}
+        return re.sub(r"Alice|Bob|\d+", lambda m: names.get(m[0]) or str((int(m[0]) * (37 * k + 11)) % 97 + 100 * k), text)
+
+    page = [variant(k) for k in range(1, 11)]
+    edited = [v.replace("of the fruit", "of all the very fine fruit") for v in page]
+    rows = [(1, filler.join(page)), (2, filler.join([*page[:5], text, *page[5:]])), (3, " ".join(page)), (4, filler.join(edited)), (5, filler * 9)]
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(frame(spark, rows), b).collect()}
+    assert sorted(got) == [1, 2, 3, 4]
+    assert [got[d].covered for d in (1, 2, 3)] == [got[1].item_tokens] * 3
+    assert [got[d].reparameterised for d in (1, 2, 3, 4)] == [True, False, True, True]
+
+
 def test_templates_equal_a_plain_reading():
     import re
 
