@@ -59,9 +59,19 @@ _UNIT_HASHES = np.sort(_hash_of(UNITS))
 _PLACE = tx.mix(np.arange(4, dtype=U64), 77)
 
 
+def _sums(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """How many of the n values from each place on are true."""
+    c = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(x, out=c[1:])
+    return c[at + n] - c[at]
+
+
 class Template:
     """Template tokens of some rows: `key` are hashes of words or placeholders,
-    `slot` the value in a placeholder with its type in the last two bits, else 0."""
+    `slot` the value in a placeholder with its type in the last two bits, else 0.
+
+    A capitalised word that opens a sentence may be a name or not: it is a word in
+    `key` and `slot`, and a name in `open_key` and `open_slot`."""
 
     def __init__(self, raw: np.ndarray, bounds: np.ndarray) -> None:
         n = len(raw)
@@ -102,21 +112,38 @@ class Template:
         kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
         self.key = np.where(kinds > 0, _PLACE[kinds], word)
         self.slot = np.where(kinds > 0, (word & ~U64(3)) | kinds.astype(U64), U64(0))
+        self.opener = capital[start] & opens & ~unit
+        self.open_key = np.where(self.opener, _PLACE[NAME], self.key)
+        self.open_slot = np.where(self.opener, (word & ~U64(3)) | U64(NAME), self.slot)
         self.rows = len(bounds) - 1
 
-    def windows(self, n: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First tokens, rows and hashes of the windows with enough words."""
+    def spots(self, n: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens and rows of all windows."""
         have = np.diff(self.first)
         count = np.maximum(have - n + 1, 0)
         if rows is not None:
             count = np.where(rows, count, 0)
         row = np.repeat(np.arange(self.rows), count)
         at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + self.first[:-1][row]
-        words = np.zeros(len(self.key) + 1, np.int64)
-        np.cumsum(self.slot == 0, out=words[1:])
-        good = words[at + n] - words[at] >= min(MIN_LITERALS, n)
-        at, row = at[good], row[good]
-        return at, row, (tx.rolling(self.key, n)[at] ^ U64(n)) if len(at) else np.zeros(0, U64)
+        return at, row
+
+    def windows(self, n: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens, rows, hashes and slots of the windows with enough words;
+        those with openers come a second time, with these as names."""
+        every, row = self.spots(n, rows)
+        out = []
+        for key, slot, some in ((self.key, self.slot, None), (self.open_key, self.open_slot, self.opener)):
+            good = _sums(slot == 0, every, n) >= min(MIN_LITERALS, n)
+            if some is not None:
+                good &= _sums(some, every, n) > 0
+            at = every[good]
+            out.append((at, row[good], (tx.rolling(key, n)[at] ^ U64(n)) if len(at) else np.zeros(0, U64), np.full(len(at), some is not None)))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def slots(self, at: np.ndarray, n: int, opened: np.ndarray) -> pa.Array:
+        where = at[:, None] + np.arange(n)[None, :]
+        flat = np.where(opened[:, None], self.open_slot[where], self.slot[where]).astype(np.int64) if len(at) else np.zeros((0, n), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel()))
 
 
 def templates(text: pa.Array | pa.ChunkedArray) -> Iterator[tuple[Template, int]]:
@@ -125,11 +152,6 @@ def templates(text: pa.Array | pa.ChunkedArray) -> Iterator[tuple[Template, int]
         yield Template(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]), i
 
 
-def _slots(t: Template, at: np.ndarray, n: int) -> pa.Array:
-    flat = t.slot[at[:, None] + np.arange(n)[None, :]].astype(np.int64) if len(at) else np.zeros((0, n), np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel()))
-
-
 def _item_windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of the items; an item shorter than the window is one window."""
 
@@ -138,9 +160,9 @@ def _item_windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             for t, i in templates(b.column(1)):
                 size = np.diff(t.first)
                 for n in sorted({min(window, int(s)) for s in size if s >= MIN_ITEM}):
-                    at, row, h = t.windows(n, (size >= window) if n == window else size == n)
+                    at, row, h, opened = t.windows(n, (size >= window) if n == window else size == n)
                     ids = b.column(0).take(pa.array(i + row))
-                    cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), ids, pa.array((at - t.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), _slots(t, at, n)]
+                    cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), ids, pa.array((at - t.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), t.slots(at, n, opened)]
                     yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "item_id", "item_at", "item_tokens", "item_slots"])
 
     return run
@@ -158,15 +180,15 @@ def _doc_windows(lengths: list[int], known: dict[int, np.ndarray] | None) -> Cal
         for b in batches:
             for t, i in templates(b.column(1)):
                 for n in lengths:
-                    at, row, h = t.windows(n)
+                    at, row, h, opened = t.windows(n)
                     if known is not None:
                         x, (seen, shift) = known[n], maps[n]
                         maybe = np.flatnonzero(seen[h >> U64(shift)])
                         hit = maybe[x[np.minimum(np.searchsorted(x, h[maybe]), len(x) - 1)] == h[maybe]]
-                        at, row, h = at[hit], row[hit], h[hit]
+                        at, row, h, opened = at[hit], row[hit], h[hit], opened[hit]
                     if len(at):
                         where = pa.array(i + row)
-                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), pa.array((at - t.first[row]).astype(np.int32)), _slots(t, at, n)]
+                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), pa.array((at - t.first[row]).astype(np.int32)), t.slots(at, n, opened)]
                         yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "doc_at", "doc_slots"])
 
     return run
@@ -264,8 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     between several; the one that covers most counts.  reparameterised tells
     whether some number, name or unit differs there from the item's; it is
     false if an occurrence where none does covers as many.  Numbers are runs of digits (with . and , inside), names are
-    words with a capital that don't open a sentence, and units are the words of
-    UNITS after a number.  A window has MIN_LITERALS words at least; an item of
+    words with a capital, and units are the words of UNITS after a number.  A word
+    with a capital that opens a sentence is tried as a plain word and as a name.  A window has MIN_LITERALS words at least; an item of
     fewer than `window` tokens must be met whole, and one of fewer than MIN_ITEM
     isn't looked for.
 

@@ -210,6 +210,17 @@ def test_copies_of_an_item_with_different_values_are_judged_one_by_one(spark):
     assert [got[d].reparameterised for d in (1, 2, 3, 4)] == [True, False, True, True]
 
 
+def test_names_that_open_sentences_are_replaced(spark):
+    item = "Alice has 12 apples. Bob gives Alice 5 more. Tom eats 3 of them. How many apples remain?"
+    other = "Carla has 31 apples. Dan gives Carla 8 more. Raj eats 4 of them. How many apples remain?"
+    inside = "It is said that Carla has 31 apples. Dan gives Carla 8 more. Raj eats 4 of them. How many apples remain?"
+    mixed = "Carla has 31 apples. Dan gives Zoe 8 more. Zoe eats 4 of them. Why do apples remain?"
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (32 << 20, 0):
+        got = decontaminate.leaks(frame(spark, [(1, other), (2, inside), (3, item), (4, mixed)]), b, broadcast_bytes=limit).collect()
+        assert {(r.doc_id, r.covered, r.reparameterised) for r in got} == {(1, 18, True), (2, 18, True), (3, 18, False)}
+
+
 def test_templates_equal_a_plain_reading():
     import re
 
