@@ -5,7 +5,7 @@ Windows of a few template tokens are hash-joined with the benchmark's, and the
 values in the placeholders must then agree: within an occurrence of an item, each
 value of the item must stand for one value of the document.  That catches
 questions that were copied with other numbers or names, and rejects windows that are
-alike by chance.
+alike by chance.  Windows with too few words for that, and short items, are joined as they stand.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ U64 = np.uint64
 WINDOW = 8
 #: Template tokens of a window that must be words.
 MIN_LITERALS = 3
-#: Items of fewer tokens aren't looked for.
+#: Items of fewer tokens are only looked for as they stand.
 MIN_ITEM = 5
 #: A document leaks an item if it covers this share of the item's tokens, or this many.
 MIN_SHARE = 0.5
@@ -55,6 +55,10 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return tx.word_hash(np.frombuffer(data + bytes(16), np.uint8), ends - np.array([len(w.encode()) for w in words]), ends)
 
 
+def _is_unit(word: np.ndarray) -> np.ndarray:
+    return _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word
+
+
 _UNIT_HASHES = np.sort(_hash_of(UNITS))
 _PLACE = tx.mix(np.arange(4, dtype=U64), 77)
 
@@ -107,7 +111,7 @@ class Template:
         after_number[begins] = False
         unit = np.zeros(len(start), bool)
         maybe = np.flatnonzero(after_number)
-        unit[maybe] = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word[maybe]), len(_UNIT_HASHES) - 1)] == word[maybe]
+        unit[maybe] = _is_unit(word[maybe])
         name = capital[start] & ~opens & ~unit
         kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
         self.key = np.where(kinds > 0, _PLACE[kinds], word)
@@ -115,6 +119,8 @@ class Template:
         self.opener = capital[start] & opens & ~unit
         self.open_key = np.where(self.opener, _PLACE[NAME], self.key)
         self.open_slot = np.where(self.opener, (word & ~U64(3)) | U64(NAME), self.slot)
+        self.word, self.number = word, number
+        self.plain = ~number & ~capital[start] & ~_is_unit(word)  # words whatever stands before them
         self.rows = len(bounds) - 1
 
     def spots(self, n: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +146,25 @@ class Template:
             out.append((at, row[good], (tx.rolling(key, n)[at] ^ U64(n)) if len(at) else np.zeros(0, U64), np.full(len(at), some is not None)))
         return tuple(map(np.concatenate, zip(*out)))
 
-    def slots(self, at: np.ndarray, n: int, opened: np.ndarray) -> pa.Array:
+    def verbatim(self, n: int, window: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens, rows and hashes of the windows as they stand that have
+        few plain words or fewer tokens than `window`; whether they are numbers
+        only, and hashes that also tell whether numbers go on before or after."""
+        at, row = self.spots(n, rows)
+        if n == window:
+            few = _sums(self.plain, at, n) < min(MIN_LITERALS, n)
+            at, row = at[few], row[few]
+        h = (tx.rolling(tx.mix(self.word, 78), n)[at] ^ U64(n)) if len(at) else np.zeros(0, U64)
+        numbers = _sums(self.number, at, n) == n
+        number = np.append(self.number, False)
+        goes_on = (number[at - 1] & (at > self.first[row])) + 2 * (number[at + n] & (at + n < self.first[row + 1]))
+        return at, row, h, numbers, tx.mix(h ^ goes_on.astype(U64), 79)
+
+    def slots(self, at: np.ndarray, n: int, opened: np.ndarray, still: int) -> pa.Array:
+        """Slots of windows, and zeros for the last `still` ones, which hold no placeholders."""
         where = at[:, None] + np.arange(n)[None, :]
         flat = np.where(opened[:, None], self.open_slot[where], self.slot[where]).astype(np.int64) if len(at) else np.zeros((0, n), np.int64)
+        flat[len(at) - still :] = 0
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel()))
 
 
@@ -159,16 +181,22 @@ def _item_windows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for b in batches:
             for t, i in templates(b.column(1)):
                 size = np.diff(t.first)
-                for n in sorted({min(window, int(s)) for s in size if s >= MIN_ITEM}):
-                    at, row, h, opened = t.windows(n, (size >= window) if n == window else size == n)
+                digits = np.concatenate(([0], np.cumsum(t.number)))
+                digits = np.diff(digits[t.first]) == size
+                for n in sorted({min(window, int(s)) for s in size if s}):
+                    rows = (size >= window) if n == window else size == n
+                    at, row, h, opened = t.windows(n, rows & (size >= MIN_ITEM))
+                    at2, row2, h2, _, bounded = t.verbatim(n, window, rows)
+                    at, row, h = np.concatenate((at, at2)), np.concatenate((row, row2)), np.concatenate((h, np.where(digits[row2], bounded, h2)))
+                    opened = np.concatenate((opened, np.zeros(len(at2), bool)))
                     ids = b.column(0).take(pa.array(i + row))
-                    cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), ids, pa.array((at - t.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), t.slots(at, n, opened)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "item_id", "item_at", "item_tokens", "item_slots"])
+                    cols = [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), ids, pa.array((at - t.first[row]).astype(np.int32)), pa.array(size[row].astype(np.int32)), pa.array(digits[row]), t.slots(at, n, opened, len(at2))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "item_id", "item_at", "item_tokens", "item_numbers", "item_slots"])
 
     return run
 
 
-def _doc_windows(lengths: list[int], known: dict[int, np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _doc_windows(lengths: list[int], window: int, known: dict[int, np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Windows of the documents, only those that the items have if these are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,15 +208,19 @@ def _doc_windows(lengths: list[int], known: dict[int, np.ndarray] | None) -> Cal
         for b in batches:
             for t, i in templates(b.column(1)):
                 for n in lengths:
-                    at, row, h, opened = t.windows(n)
+                    at, row, h, opened = t.windows(n, None if n >= min(MIN_ITEM, window) else np.zeros(t.rows, bool))
+                    at2, row2, h2, numbers, bounded = t.verbatim(n, window)
+                    still = np.concatenate((np.zeros(len(at), bool), np.ones(len(at2) + int(numbers.sum()), bool)))
+                    at, row, h = np.concatenate((at, at2, at2[numbers])), np.concatenate((row, row2, row2[numbers])), np.concatenate((h, h2, bounded[numbers]))
+                    opened = np.concatenate((opened, np.zeros(len(at) - len(opened), bool)))
                     if known is not None:
                         x, (seen, shift) = known[n], maps[n]
                         maybe = np.flatnonzero(seen[h >> U64(shift)])
                         hit = maybe[x[np.minimum(np.searchsorted(x, h[maybe]), len(x) - 1)] == h[maybe]]
-                        at, row, h, opened = at[hit], row[hit], h[hit], opened[hit]
+                        at, row, h, opened, still = at[hit], row[hit], h[hit], opened[hit], still[hit]
                     if len(at):
                         where = pa.array(i + row)
-                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), pa.array((at - t.first[row]).astype(np.int32)), t.slots(at, n, opened)]
+                        cols = [pa.array(h.view(np.int64)), b.column(0).take(where), b.column(2).take(where), pa.array((at - t.first[row]).astype(np.int32)), t.slots(at, n, opened, int(still.sum()))]
                         yield pa.RecordBatch.from_arrays(cols, names=["h", "doc_id", "th", "doc_at", "doc_slots"])
 
     return run
@@ -246,12 +278,12 @@ def occurrences(windows: list[tuple[int, int, list[int], list[int]]], size: int)
 def _judge(share: float, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         by: dict[tuple[int, int], list] = {}
-        for item, size, *window in zip(*(t[c].to_pylist() for c in ("item_id", "item_tokens", "doc_at", "item_at", "item_slots", "doc_slots"))):
-            by.setdefault((item, size), []).append(tuple(window))
+        for item, size, numbers, *window in zip(*(t[c].to_pylist() for c in ("item_id", "item_tokens", "item_numbers", "doc_at", "item_at", "item_slots", "doc_slots"))):
+            by.setdefault((item, size, numbers), []).append(tuple(window))
         rows = []
-        for (item, size), windows in by.items():
+        for (item, size, numbers), windows in by.items():
             got, other = max(map(agreement, occurrences(windows, size)), key=lambda x: (x[0], not x[1]))
-            if got >= share * size or got >= tokens:
+            if got >= size if numbers else got >= share * size or got >= tokens:
                 rows.append((key[0].as_py(), key[1].as_py(), item, got, size, other))
         cols = zip(*rows) if rows else [[]] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
@@ -262,7 +294,7 @@ def _judge(share: float, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, share: float, tokens: int, broadcast_bytes: int) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    items = items.mapInArrow(_item_windows(window), "h long, n int, item_id long, item_at int, item_tokens int, item_slots array<long>")
+    items = items.mapInArrow(_item_windows(window), "h long, n int, item_id long, item_at int, item_tokens int, item_numbers boolean, item_slots array<long>")
     size = {r["n"]: r["c"] for r in items.groupBy("n").agg(F.countDistinct("h").alias("c")).collect()}
     known = None
     small = lambda x: x
@@ -272,7 +304,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, share: float, tok
         known = {int(k): np.sort(h[n == k]) for k in np.unique(n)}
         small = F.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    met = rows.mapInArrow(_doc_windows(sorted(size), known), "h long, doc_id long, th long, doc_at int, doc_slots array<long>")
+    met = rows.mapInArrow(_doc_windows(sorted(size), window, known), "h long, doc_id long, th long, doc_at int, doc_slots array<long>")
     return met.join(small(items), "h").groupBy("doc_id", "th").applyInArrow(_judge(share, tokens), "doc_id long, th long, item_id long, covered int, item_tokens int, reparameterised boolean")
 
 
@@ -287,9 +319,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     whether some number, name or unit differs there from the item's; it is
     false if an occurrence where none does covers as many.  Numbers are runs of digits (with . and , inside), names are
     words with a capital, and units are the words of UNITS after a number.  A word
-    with a capital that opens a sentence is tried as a plain word and as a name.  A window has MIN_LITERALS words at least; an item of
-    fewer than `window` tokens must be met whole, and one of fewer than MIN_ITEM
-    isn't looked for.
+    with a capital that opens a sentence is tried as a plain word and as a name.  Windows with
+    fewer than MIN_LITERALS words, numbers, names and units aside, must be met
+    as they stand but for case; so must items of fewer than MIN_ITEM tokens,
+    and whole, as any of fewer than `window` must.  An item of nothing but numbers must be met
+    whole, and not inside a longer run of numbers.
 
     Null and empty texts, of documents or items, and items of a null item_id
     match nothing.  Null doc_ids stay null, and all rows of a null doc_id and

@@ -221,6 +221,17 @@ def test_names_that_open_sentences_are_replaced(spark):
         assert {(r.doc_id, r.covered, r.reparameterised) for r in got} == {(1, 18, True), (2, 18, True), (3, 18, False)}
 
 
+def test_items_of_few_words_are_found_as_they_stand(spark):
+    bench = [(1, "Compute 12 * 3 + 45 / 9 - 7 * 8 + 16 * 2 - 4 / 2"), (2, "Ada Bob Cy Di Ed Flo Gus Hal Ida Jo"), (3, "three short words"), (4, "3 1 4 1 5 9 2 6 5 3"), (5, "7 + 8"), (6, "9 km Bo 4 m")]
+    rows = [(10 + i, "We now say: " + x + " and so on.") for i, x in bench] + [(20 + i, x) for i, x in bench]
+    rows += [(31, "Compute 13 * 3 + 46 / 9 - 7 * 9 + 16 * 3 - 4 / 3"), (32, "short three words"), (34, "1 " + bench[3][1] + " 8"), (35, "7 + 8 + 9"), (36, "7 + 9")]
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (32 << 20, 0):
+        got = decontaminate.leaks(frame(spark, rows), b, broadcast_bytes=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(k + i, i) for i, _ in bench for k in (10, 20)}
+        assert not any(r.reparameterised for r in got)
+
+
 def test_templates_equal_a_plain_reading():
     import re
 
