@@ -27,7 +27,7 @@ from ._spark import partitions, ready_to_checkpoint, scratch
 
 U64 = np.uint64
 #: n of the n-grams.
-ORDER = 2
+ORDER = 3
 #: n-grams that a task holds before it packs and sends them.
 FLUSH = 1_500_000
 #: Words are known by the upper 48 bits of their hash, so that six bytes carry one.

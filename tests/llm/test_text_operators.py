@@ -128,6 +128,16 @@ def test_kneser_ney_equals_its_definition(spark, order):
             assert abs(got[d].perplexity / math.exp(-want / (n + 1)) - 1) < 1e-4
 
 
+def test_the_registered_query_scores_trigrams(spark, tmp_path):
+    from lexspan.llm import queries
+
+    rows = [(i, t) for i, (_, t) in enumerate(rows_of(9))]
+    frame(spark, rows, True).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_prob for r in queries.op10_lm_scoring(spark, str(tmp_path)).collect()}
+    for (d, _), want in zip(rows, brute.kneser_ney([t for _, t in rows], 3)):
+        assert got[d] is None if want is None else abs(got[d] - want) < 1e-3
+
+
 def test_kneser_ney_is_a_distribution_and_takes_unseen_words(spark):
     rows = [(1, "a b a b c"), (2, "a b d"), (3, None)]
     model = ngram_lm.train(frame(spark, rows), 2)
