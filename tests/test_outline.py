@@ -40,6 +40,29 @@ def test_terms(spark):
     assert got == {'**"AI system"**': "ai system", "AI systems": "ai system", "providers": "provider", "unheard of": None}
 
 
+def test_matched_terms_takes_every_part(spark, tmp_path):
+    import random
+    from difflib import SequenceMatcher
+
+    from lexspan.plans.outline_queries import matched_terms
+
+    r = random.Random(5)
+    parts = [(k, f"Brand#{k % 3}", " ".join(r.choice(["almond", "blue", "coral", "blush", "Élan"]) for _ in range(4))) for k in range(1, 640, 7)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    known = {b: sorted({n.lower() for _, c, n in parts if c == b}) for _, b, _ in parts}
+
+    def match(brand, k):
+        if k in known[brand]:
+            return k
+        for t in (k, k[:-1] if k.endswith("s") else ""):
+            best = min(((-x, h) for h in known[brand] if (x := SequenceMatcher(None, t, h).ratio()) > 0.87), default=None)
+            if best:
+                return best[1]
+
+    want = {(b, f'"{n}' + "s" * (k % 2 == 0) + '"'): match(b, n.lower() + "s" * (k % 2 == 0)) for k, b, n in parts}
+    assert {(x.p_brand, x.term): x.matched for x in matched_terms(spark, str(tmp_path)).collect()} == want
+
+
 def test_names(spark):
     d = spark.createDataFrame([("Supplement No. 1 to Part 714",), ("SFAR No. 36",), ("Appendix A to Part 17",), ("B",)], "n string")
     got = [tuple(r[0]) for r in d.select(outline.appendix_kind(F.col("n"))).collect()]
