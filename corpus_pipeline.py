@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the least
-    doc_id; of repeated rows one.  Rows without doc_id or text stay."""
+    doc_id, a null one counting as the greatest; of repeated rows one.  Rows
+    without text stay."""
     return minhash.one_of_each(docs)
 
 

@@ -211,11 +211,14 @@ def _members(docs: DataFrame, shingle: int, threshold: float, bands: int, band_r
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs with one row of each group of near_groups(), and all rows in no group.
 
-    The row that stays is one of the group's least doc_id.  Rows whose doc_id
-    or text is null, or whose text is blank, are in no group and stay.  All
-    columns are returned, and may have any names.
+    The row that stays is one of the group's least doc_id.  Rows of a null
+    doc_id are grouped like others, by a number of 2^62 or more that their text
+    gives, so that one stays only where no lesser doc_id is in the group.  Rows
+    whose text is null or blank are in no group and stay.  All columns are
+    returned, and may have any names.
     """
-    member = _members(docs, shingle, threshold, bands, band_rows, broadcast_bytes).checkpoint()
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))))
+    member = _members(docs.select(number.alias("doc_id"), "text"), shingle, threshold, bands, band_rows, broadcast_bytes).checkpoint()
     best = member.where("doc_id = group_id").groupBy("group_id").agg(F.min("th").alias("best"))
     who, th = free_name(docs, "_member"), free_name(docs, "_th")
     judged = member.join(best, "group_id").groupBy(F.col("doc_id").alias(who), F.col("th").alias(th))
@@ -223,7 +226,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRE
     again = F.expr("stays AND rows > 1")
     n = judged.agg(F.count("*").alias("n"), F.count_if(again).alias("more")).first()
     small = F.broadcast if n["n"] * ROW_BYTES <= broadcast_bytes else (lambda x: x)
-    here = (F.col("doc_id").cast("long") == F.col(who)) & (F.xxhash64("text") == F.col(th))
+    here = (number == F.col(who)) & (F.xxhash64("text") == F.col(th))
     kept = docs.join(small(judged.where("NOT stays OR rows > 1").select(who, th)), here, "left_anti")
     if n["more"]:  # repeated rows of the document that stays
         repeated = docs.join(small(judged.where(again).select(who, th)), here)

@@ -87,6 +87,19 @@ def test_empty_tables(spark):
     assert minhash.one_of_each(blank).count() == substring.without_repeats(blank).count() == 2
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_rows_without_doc_id_are_grouped_too(spark, clash):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(90)) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 2)[0] + " some other end"
+    rows = [(5, a), (None, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (None, c), (9, c), (None, d), (None, None), (None, None), (None, "")]
+    for limit in (32 << 20, 0):
+        got = [(r.doc_id, r.text) for r in minhash.one_of_each(frame(spark, rows, clash), broadcast_bytes=limit).collect()]
+        of_b = [r for r in got if r[1] in (b, near(b))]
+        assert len(of_b) == 1 and of_b[0][0] is None
+        assert sorted((r for r in got if r not in of_b), key=repr) == sorted([(5, a), (9, c), (None, d), (None, None), (None, None), (None, "")], key=repr)
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_near_groups_equal_brute_force(spark, clash):
     rows = rows_of(4)
