@@ -15,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is made and set only where none is set."""
+    """The cluster's shared folder, spark.checkpoint.dir.  Where it is unset, one is
+    made, but only if driver and executors are one process: a cluster must name its own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexspan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -37,8 +40,10 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexspan-{what}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    return path[5:].replace("//", "/") if path.startswith("file:") else path
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full address of a path: one without a scheme is in the cluster's default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
@@ -64,24 +69,21 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
 
 
-#: Up to this size a corpus is cut into chunks and shards of the least size.
-SMALL = 16 << 30
+#: A chunk takes this many bytes of text times the cube root of all the text's bytes.
+CHUNK_SHARE = 8_400
+#: Chunks whose share of what is sent one shard takes.
+SHARD_CHUNKS = 4
 
 
-def growth(size: int) -> float:
-    """How many times SMALL a corpus is, 1 at least.  What all chunks send to all
-    shards comes in as many pieces as there are pairs of them, so that chunks
-    and shards must both grow for the pieces to stay worth sending."""
-    return max(1.0, size / SMALL)
+def layout(size: int, chunk_bytes: int | None = None) -> tuple[int, int]:
+    """Chunks and shards for so many bytes of text.
 
-
-def chunk_count(size: int, least: int) -> int:
-    """Chunks of `least` bytes, growing with the cube root of the corpus to 16 times that."""
-    return max(1, -(-size // int(least * min(16.0, growth(size) ** (1 / 3)))))
-
-
-def shard_count(chunks: int) -> int:
-    return min(chunks, 1 << 16)
+    What all chunks send to all shards comes in as many pieces as there are pairs of
+    them.  Both therefore grow in number and in size with the corpus, by one
+    formula at any size, so that the pieces stay worth sending: those of a byte of
+    text grow with the cube root of the corpus only.  chunk_bytes sets the size."""
+    chunks = max(1, -(-size // (chunk_bytes or max(1, round(CHUNK_SHARE * max(size, 1) ** (1 / 3))))))
+    return chunks, -(-chunks // SHARD_CHUNKS)
 
 
 def chunked(docs: DataFrame, n: int, doc_id: str = "doc_id", chunk: str = "_chunk") -> DataFrame:

@@ -27,16 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import chunk_count, chunked, free_name, growth, in_order, shard_count, text_bytes
+from ._spark import chunked, free_name, in_order, layout, text_bytes
 
 U64 = np.uint64
 WINDOW = 50
 DEPTH = 2
 #: Cells of a sketch row for each window of the corpus, at least.
 LOAD = 8
-#: log2 of the cells in one shard of a sketch row; up to 6 more for large corpora.
-SHARD_BITS = 22
-CHUNK_BYTES = 4 << 20
+#: Cells of a piece that a shard adds up at a time, at least, on average.
+PIECE = 4096
 
 _CELLS = "_chunk int, kind int, shard int, body binary, counts binary"
 _HOT = "_chunk int, kind int, shard int, body binary"
@@ -65,7 +64,7 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def _sketch(n: int, depth: int, bits: int, shard_bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _sketch(n: int, depth: int, bits: int, shards: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         h = [r[at] for _, r, at, _ in _all_windows(t, n)]
         h = np.concatenate(h) if h else np.zeros(0, U64)
@@ -75,33 +74,46 @@ def _sketch(n: int, depth: int, bits: int, shard_bits: int) -> Callable[[tuple,
             start = _runs(cells)
             counts = np.minimum(np.diff(np.r_[start, len(cells)]), 255).astype(np.uint8)
             cells = cells[start]
-            shard = (cells >> U64(shard_bits)).astype(np.int64)
-            cut = np.r_[_runs(shard), len(shard)]
-            for a, b in zip(cut[:-1], cut[1:]):
-                rows.append((key[0].as_py(), d, int(shard[a]), tx.put_sorted(cells[a:b]), counts[a:b].tobytes()))
+            cut = np.searchsorted(cells, _bounds(bits, shards))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                a, b = cut[k], cut[k + 1]
+                rows.append((key[0].as_py(), d, k, tx.put_sorted(cells[a:b]), counts[a:b].tobytes()))
         return _table(rows, ("_chunk", "kind", "shard", "body", "counts"), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
     return run
 
 
+def _bounds(bits: int, shards: int) -> np.ndarray:
+    """First cells of the shards of a sketch row, and the end of the last."""
+    return np.array([(k << bits) // shards for k in range(shards + 1)], U64)
+
+
 def _table(rows: list[tuple], names: tuple, types: tuple) -> pa.Table:
     cols = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.table([pa.array(c, k) for c, k in zip(cols, types)], names=list(names))
 
 
-def _merge_sketch(shard_bits: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Adds the chunks' parts of one shard; tells each chunk its cells of two or more."""
+def _merge_sketch(bits: int, shards: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Adds the chunks' parts of one shard, stretch by stretch; tells each chunk its cells of two or more."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.zeros(1 << shard_bits, np.uint8)
-        base = U64(key[1].as_py() << shard_bits)
-        parts = [(tx.get_sorted(b) - base).astype(np.int64) for b in t["body"].to_pylist()]
-        for cells, c in zip(parts, t["counts"].to_pylist()):
-            total[cells] = np.minimum(total[cells] + np.minimum(np.frombuffer(c, np.uint8), 2), 2)
-        rows = []
-        for chunk, cells in zip(t["_chunk"].to_pylist(), parts):
-            if len(hot := cells[total[cells] >= 2]):
-                rows.append((chunk, key[0].as_py(), key[1].as_py(), tx.put_sorted(hot.astype(U64) + base)))
+        shard = key[1].as_py()
+        low, high = ((k << bits) // shards for k in (shard, shard + 1))
+        parts = [tx.get_sorted(b) for b in t["body"].to_pylist()]
+        counts = [np.frombuffer(c, np.uint8) for c in t["counts"].to_pylist()]
+        hot = [np.zeros(len(p), bool) for p in parts]
+        steps = max(1, sum(map(len, parts)) // (PIECE * max(1, len(parts))))
+        edge = np.array([low + (high - low) * k // steps for k in range(steps + 1)], U64)
+        cuts = [np.searchsorted(p, edge) for p in parts]
+        for k in range(steps):
+            total = np.zeros(int(edge[k + 1] - edge[k]), np.uint8)
+            here = [slice(c[k], c[k + 1]) for c in cuts]
+            at = [(p[x] - edge[k]).astype(np.int64) for p, x in zip(parts, here)]
+            for cells, c, x in zip(at, counts, here):
+                total[cells] = np.minimum(total[cells] + np.minimum(c[x], 2), 2)
+            for h, cells, x in zip(hot, at, here):
+                h[x] = total[cells] >= 2
+        rows = [(chunk, key[0].as_py(), shard, tx.put_sorted(p[h])) for chunk, p, h in zip(t["_chunk"].to_pylist(), parts, hot) if h.any()]
         return _table(rows, ("_chunk", "kind", "shard", "body"), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))
 
     return run
@@ -281,22 +293,20 @@ def _cleaned(n: int, depth: int, bits: int, columns: list[str]) -> Callable[[tup
     return run
 
 
-def _plan(docs: DataFrame, window: int, depth: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+def _plan(docs: DataFrame, window: int, depth: int, chunk_bytes: int | None) -> tuple[DataFrame, DataFrame, int]:
     """Chunked documents, all answers for the chunks, and the bits of a cell."""
     size = text_bytes(docs)
-    chunks = chunk_count(size, chunk_bytes)
-    shards = shard_count(chunks)
-    shard_bits = SHARD_BITS + min(6, int(growth(size)).bit_length() // 2)
+    chunks, shards = layout(size, chunk_bytes)
     # windows are about as many as words, and a word takes six bytes with its space
-    bits = max(shard_bits, int(LOAD * size // 6).bit_length())
+    bits = max(16, int(LOAD * size // 6).bit_length())
     base = chunked(docs, chunks)
     key = F.col("_chunk")
-    hot = base.groupBy(key).applyInArrow(_sketch(window, depth, bits, shard_bits), _CELLS).groupBy("kind", "shard").applyInArrow(_merge_sketch(shard_bits), _HOT)
+    hot = base.groupBy(key).applyInArrow(_sketch(window, depth, bits, shards), _CELLS).groupBy("kind", "shard").applyInArrow(_merge_sketch(bits, shards), _HOT)
     exact = base.groupBy(key).cogroup(hot.groupBy(key)).applyInArrow(_candidates(window, depth, bits, shards), _GROUPS).groupBy("kind", "shard").applyInArrow(_group, _HOT)
     return base, hot.unionByName(exact), bits
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, chunk_bytes: int | None = None) -> DataFrame:
     """Maximal runs of words that lie in windows which occur twice or more in docs.
 
     docs needs doc_id (an integer) and text; other columns are ignored, whatever
@@ -317,7 +327,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, ch
     return base.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(_spans(window, depth, bits), schema)
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, chunk_bytes: int | None = None) -> DataFrame:
     """docs without the removable words that repeated_spans() finds.
 
     All rows and columns stay, in the columns' order; text loses the removable

@@ -3,11 +3,11 @@
 Documents are cut where content says so, not where a partition happens to end:
 each window of `window` words is represented by its least k-gram (winnowing), so
 equal windows have the same anchor at the same place.  Anchors that occur once
-in the corpus are out; the text around the others goes to the block of the
+in the corpus are out, as no window around them repeats; the text around the others goes to the block of the
 anchor's hash, where all occurrences meet.  A block builds one suffix array over
 its words in two stages: suffixes smaller than their successors are sorted
-directly, all others are induced by a scan of the buckets.  Adjacent common prefixes of
-`window` words or more are the repeats.
+directly, all others are induced by a scan of the buckets.  Then the lengths of
+adjacent common prefixes are computed; those of `window` words or more are the repeats.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._spark import chunk_count, chunked, in_order, shard_count, text_bytes
+from ._spark import chunked, in_order, layout, text_bytes
 
 U64 = np.uint64
 WINDOW = 50
 #: Words of an anchor.
 ANCHOR = 16
-CHUNK_BYTES = 4 << 20
 _NO_ID = np.iinfo(np.int64).max
 
 _SENT = "_chunk int, shard int, body binary, counts binary"
@@ -125,43 +124,45 @@ def _segments(window: int, k: int, blocks: int) -> Callable[[tuple, pa.Table, pa
     return run
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of s, an array of numbers, in an order that is right for their
-    first `depth` numbers at least.
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """All suffixes of s in order.  s holds numbers of 1 or more, and zeros as
+    ends of pieces: an end is less than every number and than the ends after it,
+    and the last value is one.
 
-    Suffixes smaller than their successors are sorted by comparison of their
-    first numbers; the scan then meets each other suffix's successor before the
-    place of the suffix itself, and puts it at the next free place of its
-    bucket."""
+    Suffixes smaller than their successors, ends among them, are sorted by
+    comparison, up to the ends of their pieces; the scan then meets each other suffix's
+    successor before the place of the suffix itself, and puts it at the next
+    free place of its bucket."""
     n = len(s)
     if n == 0:
         return np.zeros(0, np.int64)
+    ends = np.flatnonzero(s == 0)
     # smaller than the successor: decided where the run of equal numbers ends
     change = np.flatnonzero(s[1:] != s[:-1])
     at = np.searchsorted(change, np.arange(n - 1))
     smaller = np.zeros(n, bool)
     inside = at < len(change)
     c = change[at[inside]]
-    smaller[:-1][inside] = s[c] < s[c + 1]  # a last run is larger than the end
+    smaller[:-1][inside] = s[c] < s[c + 1]
+    smaller[ends] = True
     top = int(s.max()) + 1
     kind, width = (">u2", 2) if top < 65536 else (">u4", 4)
     buf = s.astype(kind).tobytes()
-    direct = np.flatnonzero(smaller).tolist()
-    key = {i: buf[i * width : (i + depth) * width] for i in direct}
-    direct.sort(key=key.__getitem__)
+    sorted_by_text = np.flatnonzero(smaller & (s > 0))
+    stop = (ends[np.searchsorted(ends, sorted_by_text)] * width).tolist()
+    direct = sorted_by_text.tolist()
+    key = {i: buf[i * width : e] for i, e in zip(direct, stop)}
+    direct.sort(key=key.__getitem__)  # stable: of equal ones the one whose end comes first
     del key
     size = np.bincount(s, minlength=top)
     end = np.cumsum(size)
     count_direct = np.bincount(s[smaller], minlength=top)
     sa = np.full(n, -1, np.int64)
-    d = np.array(direct, np.int64)
+    d = np.concatenate([ends, np.array(direct, np.int64)])
     # in a bucket the induced ones come first
     rank = np.arange(len(d)) - np.repeat(np.cumsum(count_direct) - count_direct, count_direct)
     sa[(end - count_direct)[s[d]] + rank] = d
     out, text, induced, head = sa.tolist(), s.tolist(), (~smaller).tolist(), (end - size).tolist()
-    c = text[n - 1]  # the last suffix follows on the end, which is less than all
-    out[head[c]] = n - 1
-    head[c] += 1
     for i in range(n):
         j = out[i] - 1
         if j >= 0 and induced[j]:
@@ -171,16 +172,17 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def adjacent_common(s: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int) -> np.ndarray:
-    """For each suffix and the one before it in sa: whether they have `least`
-    numbers in common before either's room ends."""
-    out = np.zeros(len(sa), bool)
-    pair = np.flatnonzero((room[sa[1:]] >= least) & (room[sa[:-1]] >= least)) + 1
-    for k in range(least):
-        if not len(pair):
-            break
-        pair = pair[s[sa[pair] + k] == s[sa[pair - 1] + k]]
-    out[pair] = True
+def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each suffix the numbers that it and the one before it in sa begin with
+    alike, before either's piece ends; 0 for the first."""
+    out = np.zeros(len(sa), np.int64)
+    pair = np.arange(1, len(sa))
+    k = 0
+    while len(pair):
+        a, b = s[sa[pair] + k], s[sa[pair - 1] + k]
+        pair = pair[(a == b) & (a > 0)]
+        k += 1
+        out[pair] = k
     return out
 
 
@@ -193,42 +195,45 @@ def _block(window: int) -> Callable[[tuple, pa.Table], pa.Table]:
         size = np.concatenate(size)
         n = len(size)
         _, ids = np.unique(np.concatenate(hashes), return_inverse=True)
-        first = np.cumsum(size + 1) - size - 1  # a zero after each segment
-        segment = np.repeat(np.arange(n), size)
-        where = np.arange(len(ids)) + segment
+        first = np.cumsum(size + 1) - size - 1  # a zero ends each segment
         s = np.zeros(len(ids) + n, np.int64)
-        s[where] = ids + 1
-        room = np.zeros(len(s), np.int64)
-        room[where] = (first + size)[segment] - where
-        sa = suffix_array(s, window)
-        same = adjacent_common(s, sa, room, window)
-        sa_group = np.cumsum(~same)
-        windows = t["windows"].to_numpy()
+        s[np.arange(len(ids)) + np.repeat(np.arange(n), size)] = ids + 1
+        sa = suffix_array(s)
         group_at = np.empty(len(s), np.int64)
-        group_at[sa] = sa_group
-        # their occurrences
+        group_at[sa] = np.cumsum(common_prefixes(s, sa) < window)
+        # the segments' occurrences, each segment's first one first
         docs, rows, begins = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("docs", np.int64), ("rows", np.int32), ("begins", np.int32)))
         times = np.array([len(b) // 8 for b in t["docs"].to_pylist()])
-        seg_of = np.repeat(np.arange(n), times)
-        per = windows[seg_of]
-        occ = np.repeat(np.arange(len(seg_of)), per)
-        off = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
-        group = group_at[first[seg_of[occ]] + off]
-        order = np.lexsort((begins[occ] + off, rows[occ], docs[occ], group))
-        g = group[order]
-        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
-        many = np.diff(np.r_[start, len(g)])
-        state = np.empty(len(g), np.int8)
-        says = np.repeat(np.where(many > 1, 2, 0).astype(np.int8), many)
-        says[start[many > 1]] = 1
-        state[order] = says
-        cut = np.flatnonzero(np.r_[True, (state[1:] != state[:-1]) | (occ[1:] != occ[:-1])]) if len(state) else np.zeros(0, np.int64)
-        length = np.diff(np.r_[cut, len(state)])
-        keep = state[cut] > 0
-        cut, length = cut[keep], length[keep]
-        o = occ[cut]
-        chunk = t["_chunk"].to_numpy()[seg_of[o]]
-        return pa.table([pa.array(chunk.astype(np.int32)), pa.array(rows[o]), pa.array(docs[o]), pa.array((begins[o] + off[cut]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(state[cut] == 2)], names=["_chunk", "row", "doc_id", "begin", "windows", "later"])
+        order = np.lexsort((begins, rows, docs, np.repeat(np.arange(n), times)))
+        docs, rows, begins = docs[order], rows[order], begins[order]
+        chunk = np.repeat(t["_chunk"].to_numpy(), times)
+        lead = np.cumsum(times) - times
+        # the segments' windows; equal ones are a group, whose first occurrence is one of a segment's first
+        windows = t["windows"].to_numpy()
+        seg = np.repeat(np.arange(n), windows)
+        off = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+        group = group_at[first[seg] + off]
+        order = np.lexsort((begins[lead[seg]] + off, rows[lead[seg]], docs[lead[seg]], group))
+        start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        many = np.add.reduceat(times[seg][order], start) > 1 if len(start) else np.zeros(0, bool)
+        later = np.empty(len(seg), np.int8)
+        later[order] = np.repeat(np.where(many, 2, 0), np.diff(np.r_[start, len(order)]))
+        at_first = later.copy()
+        at_first[order[start[many]]] = 1
+        found = []
+        for state, own in ((at_first, True), (later, False)):
+            cut = np.flatnonzero(np.r_[True, (state[1:] != state[:-1]) | (seg[1:] != seg[:-1])]) if len(state) else np.zeros(0, np.int64)
+            length = np.diff(np.r_[cut, len(state)])
+            keep = state[cut] > 0
+            cut, length = cut[keep], length[keep]
+            of = np.ones(len(cut), np.int64) if own else times[seg[cut]] - 1
+            run_of = np.repeat(np.arange(len(cut)), of)
+            o = lead[seg[cut]][run_of] + (not own) + np.arange(len(run_of)) - np.repeat(np.cumsum(of) - of, of)
+            cut, length = cut[run_of], length[run_of]
+            found.append((chunk[o], rows[o], docs[o], begins[o] + off[cut], length, state[cut] == 2))
+        cols = [np.concatenate(x) for x in zip(*found)]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        return pa.table([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)], names=["_chunk", "row", "doc_id", "begin", "windows", "later"])
 
     return run
 
@@ -260,7 +265,7 @@ def _join_up(window: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, chunk_bytes: int | None = None) -> DataFrame:
     """Maximal runs of words that lie in passages of `window` words or more which
     occur twice or more in docs: (doc_id, start_word, end_word, removable).
 
@@ -275,8 +280,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chunks = chunk_count(text_bytes(docs), chunk_bytes)
-    shards = shard_count(chunks)
+    chunks, shards = layout(text_bytes(docs), chunk_bytes)
     base = chunked(docs, chunks)
     hot = base.groupBy("_chunk").applyInArrow(_send(window, anchor, shards), _SENT).groupBy("shard").applyInArrow(_repeated, _HOT)
     parts = base.groupBy("_chunk").cogroup(hot.groupBy("_chunk")).applyInArrow(_segments(window, anchor, chunks), _SEGMENTS)
