@@ -1,19 +1,22 @@
 """Near-duplicate groups by circulant MinHash.
 
 Two permutations make all coordinates of a signature: sigma scatters the
-shingles over a universe of 2^22 slots, and pi, circularly shifted by k,
-gives coordinate k.  As pi's shifts are neighbours in memory, a shingle's values for
-all coordinates are one contiguous slice.
+shingles, which are hashed into a universe of 2^22 slots, and pi, circularly
+shifted by k, gives coordinate k.  As pi's shifts are neighbours in memory, a
+shingle's values for all coordinates are one contiguous slice.
 
 1. Texts equal word for word are brought together under a 128-bit hash; one
    row of each goes on.
-2. Bands of the signatures propose candidates: each member of a bucket is
-   joined to the bucket's least document.  No bucket is cut.
-3. Candidates' components are found by label propagation over the edges.
-4. In each component the exact Jaccard similarity of shingle sets decides: the
-   groups are the connected components of the pairs at or over the threshold.
-   Pairs that are already connected need no look, so a group of n copies takes
-   n - 1 comparisons.
+2. Bands of the signatures put texts into buckets.  No bucket is cut.
+3. Each text of a bucket is held against the bucket's least one, its hub, by
+   exact Jaccard similarity of their shingle sets.  Near pairs link, and links make groups.
+4. Where a bucket holds texts of several groups still, all its pairs between
+   these are held against each other too, but for those judged before; the groups
+   are then the connected components of all near pairs.
+
+So a bucket of n copies takes n - 1 comparisons, while texts that are only
+alike enough to meet in a bucket chain nothing together: what is joined up are near
+pairs.  A hub's comparisons are spread over as many tasks as they need.
 """
 
 from __future__ import annotations
@@ -37,14 +40,16 @@ BAND_ROWS = 4
 UNIVERSE_BITS = 22
 #: Bytes that a row of the tables which may be broadcast takes in memory, about.
 ROW_BYTES = 200
+#: Texts that are held against a hub in one place, about.
+HUB_TEXTS = 256
 SEED = 20240607
 
 
-def _permutation(coordinates: int) -> np.ndarray:
-    """pi, continued circularly by the number of coordinates."""
+def _permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
+    """sigma, and pi continued circularly by the number of coordinates."""
     rng = np.random.Generator(np.random.PCG64(SEED))
-    pi = rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32)
-    return np.concatenate([pi, pi[:coordinates]])
+    sigma, pi = (rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32) for _ in range(2))
+    return sigma, np.concatenate([pi, pi[:coordinates]])
 
 
 def shingles(w: tx.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +68,10 @@ def shingles(w: tx.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(row, np.arange(w.rows + 1))
 
 
-def signature(h: np.ndarray, pi: np.ndarray, coordinates: int) -> np.ndarray:
+def signature(h: np.ndarray, permutations: tuple[np.ndarray, np.ndarray], coordinates: int) -> np.ndarray:
     """The coordinates of one set of shingle hashes, which may repeat."""
-    s = (tx.mix(h, 21) >> U64(64 - UNIVERSE_BITS)).astype(np.int64)  # sigma
+    sigma, pi = permutations
+    s = sigma[(tx.mix(h, 21) >> U64(64 - UNIVERSE_BITS)).astype(np.int64)]
     rows = np.lib.stride_tricks.sliding_window_view(pi, coordinates)
     out = None
     for i in range(0, len(s), 1024):
@@ -77,7 +83,7 @@ def signature(h: np.ndarray, pi: np.ndarray, coordinates: int) -> np.ndarray:
 def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = bands * rows
-        pi = _permutation(k)
+        permutations = _permutations(k)
         for b in batches:
             n = b.num_rows
             fp = np.zeros((2, n), U64)
@@ -91,7 +97,7 @@ def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.Re
                     i = w.row0 + r
                     some[i] = True
                     fp[:, i] = _fingerprint(w, r)
-                    sig = signature(h[first[r] : first[r + 1]], pi, k).reshape(bands, rows).astype(U64)
+                    sig = signature(h[first[r] : first[r + 1]], permutations, k).reshape(bands, rows).astype(U64)
                     key = np.arange(bands, dtype=U64)
                     for c in range(rows):
                         key = tx.mix(key ^ sig[:, c], 40)
@@ -103,35 +109,6 @@ def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = np.concatenate([a, b])
-    both.sort()
-    same = int((both[1:] == both[:-1]).sum())
-    return same / (len(both) - same)
-
-
-def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """The connected components of the pairs of sets at or over the threshold:
-    for each set the least index of its component.
-
-    A set is compared with one after another of the sets before it, and never
-    with one that it is connected to already."""
-    root = np.arange(len(sets))
-    size = np.array([len(s) for s in sets])
-    for i in range(1, len(sets)):
-        near = (np.minimum(size[:i], size[i]) >= threshold * np.maximum(size[:i], size[i])) & (size[:i] > 0)
-        todo = np.flatnonzero(near)
-        while len(todo):
-            j = todo[0]
-            if _jaccard(sets[i], sets[j]) >= threshold:
-                a, b = sorted((root[i], root[j]))
-                root[root == b] = a
-                todo = todo[root[todo] != root[i]]
-            else:
-                todo = todo[1:]
-    return root
-
-
 def _fingerprint(w: tx.Words, r: int) -> tuple[int, int]:
     """128 bits of the words of row r in their order."""
     h = w.hash[w.first[r] : w.first[r + 1]]
@@ -141,29 +118,58 @@ def _fingerprint(w: tx.Words, r: int) -> tuple[int, int]:
     return a, b
 
 
-def _verify(shingle: int, threshold: float) -> Callable[[tuple, pa.Table], pa.Table]:
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        sets, at, seen = [], [], set()
-        want = list(zip(t["f1"].to_numpy().view(U64).tolist(), t["f2"].to_numpy().view(U64).tolist()))
-        for w in tx.words(t["text"]):
-            h, first = shingles(w, shingle)
-            for r in range(w.rows):
-                i = w.row0 + r
-                if want[i] not in seen and tuple(map(int, _fingerprint(w, r))) == want[i]:
-                    seen.add(want[i])
-                    at.append(i)
-                    sets.append(np.unique(h[first[r] : first[r + 1]]))
-        root = linked(sets, threshold)
-        t = t.take(pa.array(at, pa.int64()))
-        rep, n = t["doc_id"].to_numpy(), t["n"].to_numpy()
-        least = np.full(len(root), np.iinfo(np.int64).max)
-        np.minimum.at(least, root, rep)
-        size = np.bincount(root, n, len(root)).astype(np.int64)
-        return pa.table({"f1": t["f1"], "f2": t["f2"], "group_id": pa.array(least[root], pa.int64()), "size": pa.array(size[root], pa.int64())})
+def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with doc_id, text, f1 and f2, those whose text is the one meant."""
+    for b in batches:
+        text, f1, f2 = (b.column(b.schema.get_field_index(c)) for c in ("text", "f1", "f2"))
+        own = np.zeros(b.num_rows, bool)
+        want = np.array([f1.to_numpy(), f2.to_numpy()]).view(U64)
+        for w in tx.words(text):
+            for r in np.flatnonzero(np.diff(w.first)).tolist():
+                own[w.row0 + r] = tuple(map(int, _fingerprint(w, r))) == tuple(map(int, want[:, w.row0 + r]))
+        yield pa.RecordBatch.from_arrays([f1, text], names=["node", "text"]).filter(pa.array(own))
+
+
+def _near(shingle: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs at or over the threshold of hubs and the texts that follow each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, mine = 0, np.zeros(0, U64)
+        for b in batches:
+            a, other, node = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("a", "other", "node"))
+            found: list[int] = []
+            for w in tx.words(b.column(b.schema.get_field_index("text"))):
+                h, first = shingles(w, shingle)
+                for r in range(w.rows):
+                    i = w.row0 + r
+                    own = np.unique(h[first[r] : first[r + 1]])
+                    if not other[i]:
+                        hub, mine = a[i], own
+                        continue
+                    if a[i] != hub:
+                        raise RuntimeError("a text came before its hub")
+                    few, many = sorted((len(own), len(mine)))
+                    if few < threshold * many:
+                        continue
+                    at = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
+                    same = int((mine[at] == own).sum())
+                    if same / (few + many - same) >= threshold:
+                        found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(node[found])], names=["a", "b"])
 
     return run
 
 
+def _linked(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Those of the different pairs (a, b) whose texts are near.  Texts come sorted
+    behind their hub's; a hub of many goes to as many places as they need."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_TEXTS).cast("long").alias("groups"))
+    hub = groups.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("a").alias("node"), F.lit(False).alias("other"))
+    rest = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"), F.col("b").alias("node"), F.lit(True).alias("other"))
+    rows = hub.unionByName(rest).join(texts, "node").repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    return rows.select("a", "other", "node", "text").mapInArrow(_near(shingle, threshold), "a long, b long")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, band_rows: int = BAND_ROWS, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Groups of near-duplicate documents.
 
@@ -195,16 +201,32 @@ def _members(docs: DataFrame, shingle: int, threshold: float, bands: int, band_r
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     signed = docs.withColumn("th", F.xxhash64("text")).mapInArrow(_signatures(shingle, bands, band_rows), "doc_id long, th long, f1 long, f2 long, bands array<long>").checkpoint()
     same = signed.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    bucket = same.select("f1", F.explode("bands").alias("band"))
-    least = bucket.groupBy("band").agg(F.min("f1").alias("least"), F.count("*").alias("of")).where("of > 1").drop("of")
-    edges = bucket.join(least, "band").where("f1 <> least").select(F.col("f1").alias("a"), F.col("least").alias("b"))
-    member = components(edges)
-    chosen = same.drop("bands").join(member.withColumnRenamed("node", "f1"), "f1").checkpoint()
+    bucket = same.select(F.col("f1").alias("node"), F.explode("bands").alias("band"))
+    least = bucket.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("of")).where("of > 1").drop("of")
+    bucket = bucket.join(least, "band").checkpoint()
+    stars = bucket.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().checkpoint()
+    chosen = same.select("f1", "f2", "doc_id").join(bucket.select(F.col("node").alias("f1")).distinct(), "f1").checkpoint()
     if chosen.count() * ROW_BYTES <= broadcast_bytes:
         chosen = F.broadcast(chosen)
-    exact = docs.join(chosen, "doc_id").groupBy("component").applyInArrow(_verify(shingle, threshold), "f1 long, f2 long, group_id long, size long")
+    texts = docs.join(chosen, "doc_id").mapInArrow(_own_texts, "node long, text string").dropDuplicates(["node"]).checkpoint()
+    links = _linked(stars, texts, shingle, threshold).checkpoint()
+    label = components(links)
+    # buckets that hold several groups
+    placed = bucket.select("band", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("of")).where("x <> y AND of > 2").select("band")
+    placed = placed.join(mixed, "band").checkpoint()
+    here = placed.select("band", "component").distinct()
+    meet = here.withColumnRenamed("component", "one").join(here.withColumnRenamed("component", "two"), "band").where("one < two")
+    for side, name in (("one", "x"), ("two", "y")):
+        meet = meet.join(placed.select("band", F.col("node").alias(name), F.col("component").alias(side)), ["band", side])
+    more = meet.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
+    links = links.unionByName(_linked(more, texts, shingle, threshold)).checkpoint()
+    member = components(links)
+    linked = same.select("f1", "f2", "doc_id", "n").join(member.withColumnRenamed("node", "f1"), "f1")
+    group = linked.groupBy("component").agg(F.min("doc_id").alias("group_id"))
+    exact = linked.join(group, "component").select("f1", "f2", "group_id")
     alone = same.where("n > 1").select("f1", "f2", F.col("doc_id").alias("own_id"))
-    group = exact.where("size > 1").join(alone, ["f1", "f2"], "full").select("f1", "f2", F.coalesce("group_id", "own_id").alias("group_id"))
+    group = exact.join(alone, ["f1", "f2"], "full").select("f1", "f2", F.coalesce("group_id", "own_id").alias("group_id"))
     return signed.select("doc_id", "th", "f1", "f2").join(group, ["f1", "f2"]).select("doc_id", "th", "group_id")
 
 

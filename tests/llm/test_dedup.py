@@ -139,9 +139,23 @@ def test_a_chain_is_one_group(spark):
     assert got == {(rows[i][0], g) for i, g in brute.near_groups(rows).items()}
 
 
+def test_a_long_chain_and_a_crowd_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_TEXTS", 8)
+    w = [f"t{i}" for i in range(1200)]
+    chain = [(k, " ".join(w[5 * k : 5 * k + 60])) for k in range(200)]  # only neighbours are near
+    base = [f"b{i}" for i in range(90)]
+    crowd = [(1000 + k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]])) for k in range(90)]
+    # alike enough to meet in buckets, but not near
+    loose = [(2000 + k, " ".join([*base[: 45 + k % 3], *(f"l{k}x{i}" for i in range(45))])) for k in range(30)]
+    rows = chain + crowd + loose
+    got = {(r.doc_id, r.group_id) for r in minhash.near_groups(frame(spark, rows)).collect()}
+    assert got == {(rows[i][0], g) for i, g in brute.near_groups(rows).items()}
+    assert {g for d, g in got} >= {0, 1000} and len(got) >= 290
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
-    pi = minhash._permutation(128)
+    pi = minhash._permutations(128)
     for j in (0.3, 0.6, 0.9):
         est = []
         for _ in range(40):
@@ -154,7 +168,7 @@ def test_signatures_estimate_similarity():
 
 def test_recall_of_candidates():
     rng = np.random.default_rng(5)
-    pi = minhash._permutation(128)
+    pi = minhash._permutations(128)
     found = 0
     for _ in range(200):
         common = rng.integers(0, 1 << 63, 300).astype(np.uint64)
@@ -164,11 +178,50 @@ def test_recall_of_candidates():
     assert found >= 190
 
 
-def test_suffix_array_orders_all_suffixes():
+def test_suffix_array_and_common_prefixes_equal_a_plain_sort():
     rng = np.random.default_rng(1)
     for _ in range(150):
-        s = rng.integers(0, rng.integers(2, 6), rng.integers(0, 50))
-        assert suffix_array.suffix_array(s, 60).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        pieces = [rng.integers(1, rng.integers(2, 6) + 1, rng.integers(1, 40)).tolist() for _ in range(rng.integers(1, 6))]
+        s = np.array([x for p in pieces for x in [*p, 0]])
+        stop = [next(j for j in range(i, len(s)) if s[j] == 0) for i in range(len(s))]
+        want = sorted(range(len(s)), key=lambda i: (s[i : stop[i]].tolist(), stop[i]))
+        sa = suffix_array.suffix_array(s)
+        assert sa.tolist() == want
+        prefix = lambda a, b: next(k for k in range(len(s)) if s[a + k] != s[b + k] or s[a + k] == 0)
+        assert suffix_array.common_prefixes(s, sa).tolist() == [0, *(prefix(a, b) for a, b in zip(want, want[1:]))]
+    assert suffix_array.suffix_array(np.zeros(0, np.int64)).tolist() == []
+
+
+def test_one_layout_at_all_sizes():
+    from lexspan.llm._spark import layout
+
+    last = 0.0
+    for power in range(3, 15):
+        chunks, shards = layout(10**power)
+        assert 1 <= shards <= chunks < 1 << 31
+        assert chunks >= last
+        last = chunks
+    per_byte = [c * s / z for z in (10**9, 10**12) for c, s in [layout(z)]]
+    assert 9 < per_byte[1] / per_byte[0] < 11  # pieces a byte grow with the cube root
+
+
+@pytest.mark.parametrize("piece", [1, 64])
+def test_sketch_shards_are_added_up_in_stretches(spark, monkeypatch, piece):
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring, "PIECE", piece)
+    rng = np.random.default_rng(7)
+    cells = [np.unique(rng.integers(0, 1 << 16, 900)).astype(np.uint64) for _ in range(3)]
+    low, high = substring._bounds(16, 3)[1:3].tolist()
+    mine = [c[(c >= low) & (c < high)] for c in cells]
+    rows = [(k, 0, 1, tx.put_sorted(c), np.ones(len(c), np.uint8).tobytes()) for k, c in enumerate(mine)]
+    t = substring._table(rows, ("_chunk", "kind", "shard", "body", "counts"), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+    got = substring._merge_sketch(16, 3)((pa.scalar(0), pa.scalar(1)), t)
+    times = {}
+    for c in mine:
+        for x in c.tolist():
+            times[x] = times.get(x, 0) + 1
+    assert {k: tx.get_sorted(b).tolist() for k, b in zip(got["_chunk"].to_pylist(), got["body"].to_pylist())} == {k: [x for x in c.tolist() if times[x] > 1] for k, c in enumerate(mine)}
 
 
 def test_words_of_any_bytes():
