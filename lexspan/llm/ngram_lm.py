@@ -345,9 +345,10 @@ def _map(folder: str, name: str) -> list[np.ndarray]:
 
 
 def _coded(values: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows of counts as one byte each: its number among the 255 most frequent
-    ones, or 255 and a place in a list."""
+    """Rows of counts as one byte each, or half a one if there is one count a row:
+    its number among the most frequent ones, or a last number and a place in a list."""
     n = len(values[0])
+    none = 15 if len(values) == 1 else 255
     bits = 64 // len(values)
     small = np.ones(n, bool)
     packed = np.zeros(n, U64)
@@ -355,14 +356,17 @@ def _coded(values: list[np.ndarray]) -> list[np.ndarray]:
         small &= v < 1 << min(bits, 62)
         packed = (packed << U64(bits) if bits < 64 else packed) | v.astype(U64)
     kinds, first, inverse, times = np.unique(packed[small], return_index=True, return_inverse=True, return_counts=True)
-    best = np.argsort(-times, kind="stable")[:255]
-    code = np.full(len(kinds), 255, np.uint8)
+    best = np.argsort(-times, kind="stable")[:none]
+    code = np.full(len(kinds), none, np.uint8)
     code[best] = np.arange(len(best))
-    out = np.full(n, 255, np.uint8)
+    out = np.full(n, none, np.uint8)
     out[small] = code[inverse]
     rows = np.flatnonzero(small)[first[best]]
-    rest = np.flatnonzero(out == 255)
-    return [out, rest.astype(np.uint64), *(v[rows].astype(np.int64) for v in values), *(v[rest].astype(np.int64) for v in values)]
+    rest = np.flatnonzero(out == none)
+    if none == 15:
+        pair = np.append(out, np.zeros(n % 2, np.uint8))
+        out = pair[::2] | (pair[1::2] << 4)
+    return [out, rest.astype(np.uint32 if n < 1 << 32 else np.uint64), *(v[rows].astype(np.int64) for v in values), *(v[rest].astype(np.int64) for v in values)]
 
 
 class _Values:
@@ -371,15 +375,19 @@ class _Values:
     def __init__(self, arrays: list[np.ndarray]) -> None:
         self.code, self.rest = arrays[:2]
         n = (len(arrays) - 2) // 2
+        self.none = 15 if n == 1 else 255
         self.common = [np.append(a, [0] * (256 - len(a))) for a in arrays[2 : 2 + n]]
         self.rare = arrays[2 + n :]
 
     def at(self, place: np.ndarray) -> list[np.ndarray]:
-        code = self.code[place]
+        if self.none == 15:
+            code = (self.code[place >> 1] >> (4 * (place & 1)).astype(np.uint8)) & np.uint8(15)
+        else:
+            code = self.code[place]
         out = [c[code] for c in self.common]
-        far = np.flatnonzero(code == 255)
+        far = np.flatnonzero(code == self.none)
         if len(far):
-            k = np.searchsorted(self.rest, place[far].astype(U64))
+            k = np.searchsorted(self.rest, place[far].astype(self.rest.dtype))
             for o, r in zip(out, self.rare):
                 o[far] = r[k]
         return out
@@ -496,7 +504,7 @@ def _merge_sums(order: int, shards: int, bits: int, folder: str) -> Callable[[tu
             ends = _map(folder, f"ends-{shard}")
             place = _Keys(ends[: _Keys.SIZE]).find(h) if ends else np.full(len(h), -1)
             if ends:
-                beside = [np.zeros(len(ends[_Keys.SIZE]), np.int64) for _ in sums]
+                beside = [np.zeros(_Keys(ends[: _Keys.SIZE]).n, np.int64) for _ in sums]
                 for b, v in zip(beside, sums):
                     b[place[place >= 0]] = v[place >= 0]
                 _write(folder, f"contexts-{shard}", _coded(beside))
