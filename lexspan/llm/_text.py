@@ -79,12 +79,12 @@ def string_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of whole rows that hold about `size` bytes each."""
+def slices(offs: np.ndarray, size: int, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows that hold about `size` bytes each, and `rows` rows at most."""
     n, i = len(offs) - 1, 0
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + size, side="right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + (rows or n))
         yield i, j
         i = j
 

@@ -117,12 +117,13 @@ def train(docs: DataFrame, labels: DataFrame, columns: list[str], bits: int = BI
     At most `sample` labelled rows train it, on average, drawn by a hash of
     doc_id; all of them if there are fewer.  A column without both classes
     gets no weights.  Rows with a null doc_id, a null label or without text
-    don't count.
+    don't count; of several rows of one doc_id the one of the least text does.
     """
     labelled = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in columns])
     chosen = at_most(labelled, "doc_id", sample).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns])
     # the sample is bounded, so its side of the join may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("_order", F.xxhash64("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in columns]).withColumn("_order", F.xxhash64("doc_id"))
     got = rows.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_train(columns, bits, epochs), "label string, slots binary, weights binary").collect()
     return {c: (b"", b"") for c in columns} | {r["label"]: (bytes(r["slots"]), bytes(r["weights"])) for r in got}
 
@@ -154,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
     labels has doc_id, quality and toxic; of several labels of a doc_id the
     least counts.  keep is true if quality is 0.5 or more and toxic less than
     toxic_limit.  A label without both classes among the labelled rows scores
-    0.5 everywhere and rejects nothing.  Null, empty and blank texts are scored
+    0.5 everywhere and rejects nothing.  Texts are read whole, however long.  Null, empty and blank texts are scored
     by the bias alone; null doc_ids stay; repeated rows get equal scores; other
     columns are ignored; an empty table gives an empty result.
     """

@@ -25,6 +25,8 @@ BITS = 12
 SAMPLE = 800
 EPOCHS = 12
 COST = 10.0
+#: Rows whose vectors are held at a time, at most.
+ROWS = 512
 
 FAMILIES = {
     "germanic": ["en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is"],
@@ -47,7 +49,7 @@ def vectors(text: pa.Array | pa.ChunkedArray, bits: int = BITS) -> Iterator[tupl
     """Unit vectors of each row's hashed 1-, 2- and 3-grams of bytes; zero for empty rows."""
     data, offs = tx.string_buffers(text)
     size = 1 << bits
-    for i, j in tx.slices(offs, 1 << 20):
+    for i, j in tx.slices(offs, 1 << 20, ROWS):
         raw = tx._LOWER[data[offs[i] : offs[j]]].astype(np.uint32)
         bounds = offs[i : j + 1] - offs[i]
         row = np.repeat(np.arange(j - i), np.diff(bounds))
@@ -156,7 +158,9 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, families: dict[
 
     labelled (by default docs) has doc_id, text and lang; rows of a null lang
     don't train.  About `sample` rows of each language do, drawn by a hash of
-    doc_id, or all if there are fewer.  margin is the lesser of the mean
+    doc_id, or all if there are fewer; of several rows of one doc_id and lang
+    the one of the least text.  A family or language wins by most duels won,
+    then by the greater sum of margins, then by the alphabet.  margin is the lesser of the mean
     margins by which the family and the language won, 0 where there was no
     rival.  Null and empty texts, and all texts if nothing is labelled, get null
     predictions and a margin of 0.  Texts are read whole; null doc_ids stay;
@@ -165,6 +169,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, families: dict[
     """
     families = FAMILIES if families is None else families
     known = (docs if labelled is None else labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    machines = at_most_each(known, "doc_id", "lang", sample).withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_train(families, bits, epochs), "level string, a string, b string, w binary").collect()
+    chosen = at_most_each(known, "doc_id", "lang", sample).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    machines = chosen.select("doc_id", "text", "lang", F.lit(0).alias("_one")).groupBy("_one").applyInArrow(_train(families, bits, epochs), "level string, a string, b string, w binary").collect()
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return out.mapInArrow(_predict([tuple(m) for m in machines], bits), "doc_id long, family string, predicted_lang string, margin double")

@@ -21,7 +21,8 @@ from ._spark import ready_to_checkpoint
 CAPACITY = 2048
 #: Documents that one partition packs, about.
 PARTITION_DOCS = 16_384
-ROUNDS = 4
+#: Bins of a partition are numbered below this.
+MOST_BINS = 1 << 20
 
 _PACKED = "part long, doc_id long, piece int, n_tokens int, bin int, bins int, bound int"
 
@@ -102,17 +103,17 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     return n.select("doc_id", "n", cut).select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTITION_DOCS, rounds: int = ROUNDS) -> DataFrame:
-    """Bins for all documents: (doc_id, piece, n_tokens, bin_id, bins, bound).
+def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTITION_DOCS, rounds: int | None = None) -> DataFrame:
+    """Bins for all documents: (doc_id, piece, start_word, n_tokens, bin_id, bins, bound).
 
     A document's length is its number of words.  One longer than `capacity` is
     cut into pieces of a full bin and a rest, numbered from 0, so that whole
-    texts are packed.  bin_id names a bin across all partitions; bins is how
+    texts are packed; start_word is a piece's first word, counted from 0.  bin_id names a bin across all partitions; bins is how
     many bins the row's partition used in the end and bound how many any
     packing of that partition's pieces needs: where they are equal the
     partition is certified.  Partitions that aren't exchange their pieces and
-    pack again, at most `rounds` times, and the new packing stands if it has
-    fewer bins in all than the old.
+    pack again for as long as that saves bins, or `rounds` times if that is
+    given; a new packing stands if it has fewer bins in all than the old.
 
     Null, empty and blank texts take no room and have no row.  Null doc_ids are
     packed like others and stay null; repeated rows are packed one by one; ties
@@ -121,22 +122,27 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTIT
     """
     spark = docs.sparkSession
     ready_to_checkpoint(spark)
+    if partition_docs > MOST_BINS // 2:
+        raise ValueError(f"partition_docs must be {MOST_BINS // 2} at most")
     lengths = pieces(docs, capacity).checkpoint()
     parts = max(1, -(-lengths.count() // partition_docs))
 
-    def packed(rows: DataFrame, n: int, salt: int) -> DataFrame:
-        key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(n)) + F.lit(salt << 40)
+    def packed(rows: DataFrame, n: int, salt: int, base: int) -> DataFrame:
+        key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(n)) + F.lit(base)
         return rows.select("doc_id", "piece", "n_tokens", key.cast("long").alias("part")).groupBy("part").applyInArrow(_pack(capacity), _PACKED).checkpoint()
 
-    now = packed(lengths, parts, 0)
-    for r in range(1, rounds + 1):
+    now, used, r = packed(lengths, parts, 0, 0), parts, 0
+    while rounds is None or r < rounds:
+        r += 1
         gap = now.where("bins > bound")
         was = gap.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.count("*").alias("n"), F.sum("bins").alias("bins")).first()
         if was["n"] < 2:
             break
-        new = packed(gap, was["n"], r)
+        new = packed(gap, was["n"], r, used)
+        used += was["n"]
         bins = new.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
         if bins >= was["bins"]:
             break
         now = now.where("bins <= bound").unionByName(new)
-    return now.select("doc_id", "piece", "n_tokens", (F.col("part") * (1 << 20) + F.col("bin")).alias("bin_id"), "bins", "bound")
+    start = (F.col("piece").cast("long") * capacity).alias("start_word")
+    return now.select("doc_id", "piece", start, "n_tokens", (F.col("part") * MOST_BINS + F.col("bin")).alias("bin_id"), "bins", "bound")

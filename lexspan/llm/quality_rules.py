@@ -22,8 +22,6 @@ U64 = np.uint64
 MAX_NGRAM_SHARE = {5: 0.15, 7: 0.13, 10: 0.10}
 #: The largest share of characters that repeated lines may hold.
 MAX_LINE_SHARE = 0.30
-#: Shares are judged in documents of at least so many words.
-MIN_WORDS = 10
 
 _NOT_NEWLINE = np.ones(256, dtype=bool)
 _NOT_NEWLINE[10] = False
@@ -76,7 +74,7 @@ def _measure(text: pa.ChunkedArray | pa.Array, lengths: tuple[int, ...]) -> dict
     return out
 
 
-def _rules(shares: dict[int, float], line_share: float, min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _rules(shares: dict[int, float], line_share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     lengths = tuple(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +86,6 @@ def _rules(shares: dict[int, float], line_share: float, min_words: int) -> Calla
             keep = cols["dup_line_share"] <= line_share
             for n, most in shares.items():
                 keep &= cols[f"dup_{n}gram_share"] <= most
-            keep |= m["n_words"] < min_words
             keep &= m["n_words"] > 0
             names = ["doc_id", "n_words", *cols, "keep"]
             arrays = [b.column(b.schema.get_field_index("doc_id")), pa.array(m["n_words"]), *[pa.array(c) for c in cols.values()], pa.array(keep)]
@@ -97,7 +94,7 @@ def _rules(shares: dict[int, float], line_share: float, min_words: int) -> Calla
     return run
 
 
-def repetition(docs: DataFrame, ngram_shares: dict[int, float] | None = None, line_share: float = MAX_LINE_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+def repetition(docs: DataFrame, ngram_shares: dict[int, float] | None = None, line_share: float = MAX_LINE_SHARE) -> DataFrame:
     """Repetition measures and the decision for each row of docs.
 
     Result: doc_id, n_words, dup_<n>gram_share for each length, dup_line_share,
@@ -106,19 +103,19 @@ def repetition(docs: DataFrame, ngram_shares: dict[int, float] | None = None, li
     over characters of all words, and characters of repeated lines over those
     of all lines that aren't empty.  First occurrences don't count.
 
-    keep is false where a share exceeds its limit, in documents of min_words
-    words or more, and in documents without any word: null, empty and blank
-    texts have shares of 0 and aren't kept.  A null doc_id stays null; repeated
+    keep is false where a share exceeds its limit, however short the document,
+    and in documents without any word: null, empty and blank texts have shares
+    of 0 and aren't kept.  A null doc_id stays null; repeated
     rows are judged one by one; other columns are ignored whatever their names;
     an empty table gives an empty result; long texts are measured whole.
     """
     shares = MAX_NGRAM_SHARE if ngram_shares is None else ngram_shares
     fields = ["doc_id long", "n_words long", *[f"dup_{n}gram_share double" for n in shares], "dup_line_share double", "keep boolean"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rules(shares, line_share, min_words), ", ".join(fields))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rules(shares, line_share), ", ".join(fields))
 
 
-def _filter(shares: dict[int, float], line_share: float, min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    judge = _rules(shares, line_share, min_words)
+def _filter(shares: dict[int, float], line_share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    judge = _rules(shares, line_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +127,7 @@ def _filter(shares: dict[int, float], line_share: float, min_words: int) -> Call
     return run
 
 
-def kept(docs: DataFrame, ngram_shares: dict[int, float] | None = None, line_share: float = MAX_LINE_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
+def kept(docs: DataFrame, ngram_shares: dict[int, float] | None = None, line_share: float = MAX_LINE_SHARE) -> DataFrame:
     """The rows of docs that repetition() keeps, with all their columns."""
     shares = MAX_NGRAM_SHARE if ngram_shares is None else ngram_shares
-    return docs.mapInArrow(_filter(shares, line_share, min_words), docs.schema)
+    return docs.mapInArrow(_filter(shares, line_share), docs.schema)

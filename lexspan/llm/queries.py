@@ -111,7 +111,7 @@ l AS (SELECT r, sum(c) AS c, sum(CASE WHEN o > 1 THEN c ELSE 0 END) AS dup FROM
 t AS (SELECT r, sum(c) AS c FROM word GROUP BY r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, {", ".join(f"coalesce(c{n}.c / t.c, 0)::DOUBLE AS dup_{n}gram_share" for n in quality_rules.MAX_NGRAM_SHARE)}, coalesce(l.dup / l.c, 0)::DOUBLE AS dup_line_share
 FROM d LEFT JOIN t USING (r) LEFT JOIN l USING (r) {" ".join(f"LEFT JOIN c{n} USING (r)" for n in quality_rules.MAX_NGRAM_SHARE)})
-SELECT *, n_words > 0 AND (n_words < {quality_rules.MIN_WORDS} OR (dup_line_share <= {quality_rules.MAX_LINE_SHARE} AND {" AND ".join(f"dup_{n}gram_share <= {x}" for n, x in quality_rules.MAX_NGRAM_SHARE.items())})) AS keep FROM m
+SELECT *, n_words > 0 AND dup_line_share <= {quality_rules.MAX_LINE_SHARE} AND {" AND ".join(f"dup_{n}gram_share <= {x}" for n, x in quality_rules.MAX_NGRAM_SHARE.items())} AS keep FROM m
 """
 
 ORACLES: dict[str, str] = {

@@ -32,7 +32,7 @@ def expected(rows, items):
     def good(t):
         n = len(brute.words(t))
         shares, lines = brute.repetition(t, quality_rules.MAX_NGRAM_SHARE)
-        return n > 0 and (n < quality_rules.MIN_WORDS or lines <= quality_rules.MAX_LINE_SHARE and all(shares[k] <= v for k, v in quality_rules.MAX_NGRAM_SHARE.items()))
+        return n > 0 and lines <= quality_rules.MAX_LINE_SHARE and all(shares[k] <= v for k, v in quality_rules.MAX_NGRAM_SHARE.items())
 
     rows = [r for r in rows if good(r[1])]
     group = brute.near_groups(rows)
