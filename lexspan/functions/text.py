@@ -34,12 +34,12 @@ def clean_summary_text(c: Column) -> Column:
     return strip(F.regexp_replace(clean_text(c), "^-+", ""))
 
 
-def strip_emphasis(c: Column, rounds: int = 8) -> Column:
-    """Takes surrounding quotes, stars and underscores off, layer by layer, at
-    most `rounds` layers; marks on one side only stay."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, _SURROUNDED, "$1$2$3$4")
-    return strip(c)
+def strip_emphasis(c: Column) -> Column:
+    """Takes surrounding quotes, stars and underscores off, layer by layer,
+    until none is left; marks on one side only stay."""
+    # a layer takes one of the marks that the text begins with at least
+    steps = F.sequence(F.lit(0), F.length(F.regexp_extract(c, r"""^[\s"'*_]*""", 0)))
+    return strip(F.aggregate(steps, c, lambda x, _: F.regexp_replace(x, _SURROUNDED, "$1$2$3$4")))
 
 
 def plural_of(c: Column) -> Column:

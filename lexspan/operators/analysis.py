@@ -91,3 +91,55 @@ def targets(wanted: DataFrame, units: DataFrame, primary: str, cap: int = 15) ->
     one = ends.withColumn("_n", F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc(F.col("doc_id") == primary), "doc_id"))).where("_n = 1")
     met = one.join(units.select("doc_id", "type_key", "unit_id", "ord"), ["doc_id", "type_key"]).where(F.col("ord").between(F.least("a", "b"), F.greatest("a", "b")))
     return met.withColumn("_n", F.row_number().over(Window.partitionBy("ref_id").orderBy("ord"))).where(F.col("_n") <= cap).select("ref_id", "doc_id", "type_key", "unit_id", "ord")
+
+
+def applied(rows: DataFrame, by: list[str]) -> DataFrame:
+    """What actions() leave in a scratch list: kind, id, question_id, content,
+    source.  rows have `by`, ord, unit_label and the actions' fields.
+
+    Entries need a type and an id, and the last one of an id counts; answers
+    need a question that was entered before, and those without an id are numbered a_001 and on for each question."""
+    last = Window.partitionBy(*by, "kind", "id").orderBy(F.desc("ord"))
+    e = rows.where("action = 'add_entry' AND coalesce(entry.type, '') <> '' AND coalesce(entry.id, '') <> ''")
+    e = e.select(*by, "ord", F.col("entry.type").alias("kind"), F.col("entry.id").alias("id"), F.coalesce("entry.content", F.lit("")).alias("content"), F.col("unit_label").alias("source"))
+    kept = e.withColumn("_n", F.row_number().over(last)).where("_n = 1")
+    asked = e.where("kind = 'question'").groupBy(*by, F.col("id").alias("question_id")).agg(F.min("ord").alias("_since"))
+    a = rows.where("action = 'add_answer' AND coalesce(question_id, '') <> ''").join(asked, [*by, "question_id"]).where("ord > _since")
+    n = F.row_number().over(Window.partitionBy(*by, "question_id").orderBy("ord"))
+    ident = F.when(F.coalesce("answer.id", F.lit("")) != "", F.col("answer.id")).otherwise(F.format_string("a_%03d", n))
+    a = a.select(*by, F.lit("answer").alias("kind"), ident.alias("id"), "question_id", F.coalesce("answer.content", F.lit("")).alias("content"), F.col("unit_label").alias("source"), "ord")
+    a = a.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "question_id", "id").orderBy(F.desc("ord")))).where("_n = 1")
+    out = [*by, "kind", "id", "question_id", "content", "source"]
+    return kept.withColumn("question_id", F.lit(None).cast("string")).select(out).unionByName(a.select(out))
+
+
+def active_labels(pool: DataFrame) -> DataFrame:
+    """Different labels of the units of a pool; those of other documents with the document's label before."""
+    label = F.when(F.coalesce("external_doc_label", F.lit("")) != "", F.concat("external_doc_label", F.lit(" "), "unit_label")).otherwise(F.col("unit_label"))
+    return pool.select(label.alias("unit_label")).distinct()
+
+
+def answer_blocks(facts: DataFrame, questions: DataFrame, by: list[str]) -> DataFrame:
+    """What a final answer is asked from, a text each for facts with their
+    sources, settled questions, and those that nothing was found for."""
+    lines = lambda rows, line, name: rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias(name))
+    f = lines(facts, F.concat(F.lit("- "), F.col("content"), F.lit("  [sources: "), F.array_join("source_units", ", "), F.lit("]")), "facts")
+    settled = questions.where("status IN ('answered', 'unanswerable')")
+    q = lines(settled, F.concat(F.lit("- ["), F.upper("status"), F.lit("] "), F.col("text")), "questions")
+    u = lines(questions.where("status = 'unanswerable'"), F.concat(F.lit("- "), F.col("text")), "unresolved")
+    got = facts.select(*by).unionByName(questions.select(*by)).distinct().join(f, by, "left").join(q, by, "left").join(u, by, "left")
+    return got.select(*by, F.coalesce("facts", F.lit("(No facts collected.)")).alias("facts"), F.coalesce("questions", F.lit("(No sub-questions were generated.)")).alias("questions"), F.coalesce("unresolved", F.lit("")).alias("unresolved"))
+
+
+def contexts(units: DataFrame, definitions: DataFrame, referenced: DataFrame, parents: DataFrame) -> DataFrame:
+    """What a unit is read with, in one text for each of units(doc_id, unit_path,
+    title): its title, the definitions in force (term, value), summaries of
+    units that it refers to (target_path, summary_1) and definitions of the parent document."""
+    by = ["doc_id", "unit_path"]
+    lines = lambda rows, order, line, name, head: rows.groupBy(*by).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("l")))), lambda x: x["l"]), "\n")).alias(name))
+    said = F.concat(F.col("term"), F.lit(": "), F.col("value"))
+    d = lines(definitions, ["term", "value"], said, "d", "Definitions:\n")
+    r = lines(referenced, ["target_path"], F.concat(F.col("target_path"), F.lit(": "), F.col("summary_1")), "r", "Referenced:\n")
+    p = lines(parents, ["term", "value"], said, "p", "Parent definitions:\n")
+    got = units.select(*by, "title").join(d, by, "left").join(r, by, "left").join(p, by, "left")
+    return got.select(*by, F.concat_ws("\n\n", "title", "d", "r", "p").alias("context"))

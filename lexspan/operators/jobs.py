@@ -19,6 +19,28 @@ def queue_stats(jobs: DataFrame, states: list[str] = STATES) -> DataFrame:
     return F.broadcast(domain).join(jobs.groupBy("status").agg(F.count("*").alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n_jobs"))
 
 
+def enqueue(jobs: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """jobs with new(job_type, file_path, max_retries) queued under the next ids,
+    in the order of path and type; what has a queued or running job already,
+    or comes twice, isn't queued again."""
+    free = new.join(active(jobs, new.select("file_path", "job_type")), ["file_path", "job_type"], "left_anti")
+    free = free.withColumn("_p", plain_path(F.col("file_path")))
+    free = free.withColumn("_n", F.row_number().over(Window.partitionBy("_p", "job_type").orderBy("file_path"))).where("_n = 1")
+    last = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+    number = F.col("_last") + F.row_number().over(Window.orderBy("_p", "job_type"))
+    rows = free.crossJoin(F.broadcast(last)).withColumns({"id": number, "status": F.lit("queued"), "created_at": now, "retry_count": F.lit(0)})
+    none = {c: F.lit(None).cast(t) for c, t in jobs.dtypes if c not in rows.columns}
+    rows = rows.withColumns(none)
+    return jobs.unionByName(rows.select(*[F.col(c).cast(t).alias(c) for c, t in jobs.dtypes]))
+
+
+def progress_updated(progress: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """progress with a row for each new(job_id, phase, items_done, total_items), under the next ids."""
+    last = progress.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    rows = new.crossJoin(F.broadcast(last)).withColumns({"id": F.col("_last") + F.row_number().over(Window.orderBy("job_id", "phase", "items_done")), "timestamp": now})
+    return progress.unionByName(rows.select(*[F.col(c).cast(t).alias(c) for c, t in progress.dtypes]))
+
+
 def latest_progress(progress: DataFrame) -> DataFrame:
     """The last progress row of each job; later ids win within one second."""
     last = F.max_by(F.struct("phase", "items_done", "total_items", "timestamp"), F.struct("timestamp", "id"))
@@ -91,9 +113,12 @@ def page_count(n: Column, size: int = 50) -> Column:
     return F.ceil(n / size)
 
 
+def plain_path(c: Column) -> Column:
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^\./|/(?=/)", "")
+
+
 def active(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of wanted(file_path, job_type) those with a queued or running job; paths
     are compared with forward slashes and without a ./ in front."""
-    path = lambda c: F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"^\./|/(?=/)", "")
-    there = jobs.where("status IN ('queued', 'running')").select(path(F.col("file_path")).alias("_p"), "job_type")
-    return wanted.withColumn("_p", path(F.col("file_path"))).join(there, ["_p", "job_type"], "left_semi").drop("_p")
+    there = jobs.where("status IN ('queued', 'running')").select(plain_path(F.col("file_path")).alias("_p"), "job_type")
+    return wanted.withColumn("_p", plain_path(F.col("file_path"))).join(there, ["_p", "job_type"], "left_semi").drop("_p")

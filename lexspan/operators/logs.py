@@ -40,6 +40,23 @@ def is_implicit_detection(prompt: Column) -> Column:
     return F.coalesce(prompt, F.lit("")).contains("meaningfully referenced")
 
 
+#: Any of these in a call's context or prompt makes it a relevance call.
+_SCORING = ["evaluate the likely relevance", "Please evaluate", "must be one of these four options", "[0] if the portion", "[1] if the portion", "[2] if the portion", "[3] if the portion"]
+
+
+def is_refinement(prompt: Column) -> Column:
+    return F.coalesce(prompt, F.lit("")).contains("REFINEMENT PASS")
+
+
+def is_scoring(context: Column, prompt: Column, response: Column) -> Column:
+    """Asked for a relevance score, or answered with one in brackets."""
+    whole = F.concat(F.coalesce(context, F.lit("")), F.coalesce(prompt, F.lit("")))
+    out = F.rlike(F.coalesce(response, F.lit("")), F.lit(r"\[[0-3]\]"))
+    for x in _SCORING:
+        out |= whole.contains(x)
+    return out
+
+
 def prompt_lengths(calls: DataFrame, task: str = "task") -> DataFrame:
     size = F.length("prompt")
     return calls.groupBy(task).agg(F.count("*").alias("n_calls"), F.avg(size).alias("avg_chars"), F.max(size).alias("max_chars"))

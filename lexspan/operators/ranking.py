@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import normalize_fact
+from lexspan.operators.outline import most_alike
 
 MAX_ITEMS, MAX_CHARS = 10, 10_000
 
@@ -45,17 +47,29 @@ def batches(rows: DataFrame, by: list[str], order: str, size: str, max_items: in
     """Greedy batches in order: a new one begins where the next row would be
     one too many or too much.  A row over the limit stands alone.
 
-    Each group is one array that a fold walks through, inside the JVM."""
-    group = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s")))).alias("a"))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= max_items) | (acc["c"] + x["s"] > max_size))
-        b = F.when(full, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(b.alias("b"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(acc["c"] + x["s"]).alias("c"), F.concat(acc["out"], F.array(b)).alias("out"))
-
-    placed = group.select(*by, F.explode(F.arrays_zip("a", F.aggregate("a", zero, step, lambda acc: acc["out"]).alias("batch"))).alias("z"))
-    placed = placed.select(*by, F.col("z.a.o").alias("_o"), F.col("z.batch").alias("batch"))
+    Rows come sorted by group and order, and one pass goes through them, so
+    that only keys and sizes reach Python and no group has to fit a row."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    narrow = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(order).cast("long").alias("_o"), F.col(size).cast("long").alias("_s"))
+    narrow = narrow.repartition(*keys).sortWithinPartitions(*keys, "_o").withColumn("_g", F.xxhash64(*keys))
+    schema = ", ".join([*(f"{k} {t}" for k, t in narrow.dtypes if k in keys), "_o long, batch int"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b, n, total = None, 0, 0, 0
+        for p in parts:
+            out = []
+            names = p.schema.names
+            for g, s in zip(zip(*(p.column(names.index(k)).to_pylist() for k in ("_g", *keys))), p.column(names.index("_s")).to_pylist()):
+                s = s or 0
+                if g != last:
+                    last, b, n, total = g, 0, 0, 0
+                if n and (n >= max_items or total + s > max_size):
+                    b, n, total = b + 1, 0, 0
+                n, total = n + 1, total + s
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([*(p.column(names.index(k)) for k in (*keys, "_o")), pa.array(out, pa.int32())], names=[*keys, "_o", "batch"])
+
+    placed = narrow.mapInArrow(run, schema).select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "_o", "batch")
     return rows.withColumn("_o", F.col(order).cast("long")).join(placed, [*by, "_o"]).drop("_o")
 
 
@@ -82,8 +96,9 @@ def neighbours(proposed: DataFrame, pool: DataFrame, threshold: float = 0.75, mo
     """For each proposed(question_id, prop_id, content) the most similar items of its
     question's pool(question_id, item_id, content), by the ratio of matching blocks.
 
-    The pairs are an equi-join on the question; pairs whose lengths alone keep
-    the ratio under the threshold never reach Python."""
+    The pairs are an equi-join on the question.  Those whose lengths keep the ratio
+    under the threshold never reach Python, and those whose characters do, in
+    whatever order, are left out there by one vectorised pass."""
     p = proposed.select("question_id", "prop_id", normalize_fact(F.col("content")).alias("p")).where("p <> ''")
     q = pool.select("question_id", "item_id", normalize_fact(F.col("content")).alias("q")).where("q <> ''")
     reach = 2 * F.least(F.length("p"), F.length("q")) >= threshold * (F.length("p") + F.length("q"))
@@ -93,6 +108,7 @@ def neighbours(proposed: DataFrame, pool: DataFrame, threshold: float = 0.75, mo
         from difflib import SequenceMatcher
 
         for b in batches:
+            b = b.take(pa.array(np.flatnonzero(most_alike(b.column(3), b.column(4)) >= threshold)))
             c = [x.to_pylist() for x in b.columns]
             out = [SequenceMatcher(None, x, y).ratio() for x, y in zip(c[3], c[4])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.float64())], names=["question_id", "prop_id", "item_id", "similarity"])
@@ -104,10 +120,14 @@ def neighbours(proposed: DataFrame, pool: DataFrame, threshold: float = 0.75, mo
 
 
 def exhausted(questions: DataFrame, seen: DataFrame, active: DataFrame) -> DataFrame:
-    """Open questions that every active unit was offered: relational division by anti-joins."""
+    """Open questions that every active unit was offered: those of as many
+    different active units as there are."""
+    units = active.select("unit_label").distinct()
+    total = units.agg(F.count("*").alias("_total"))  # one row
+    met = seen.select("question_id", "unit_label").distinct().join(units, "unit_label", "left_semi").groupBy("question_id").agg(F.count("*").alias("_n"))
     open_questions = questions.where("status = 'open'").select("question_id")
-    missing = open_questions.crossJoin(F.broadcast(active.select("unit_label").distinct())).join(seen.select("question_id", "unit_label"), ["question_id", "unit_label"], "left_anti").select("question_id").distinct()
-    return open_questions.join(missing, "question_id", "left_anti")
+    rows = open_questions.join(met, "question_id", "left").crossJoin(F.broadcast(total))
+    return rows.where("coalesce(_n, 0) = _total").select("question_id")
 
 
 def unseen(questions: DataFrame, seen: DataFrame, unit_label: str) -> DataFrame:

@@ -41,37 +41,54 @@ def parsed(refs: DataFrame) -> DataFrame:
     return refs.select("ref_id", "ref_text", F.inline(F.array(parse_citation(F.col("ref_text")))))
 
 
-def candidates(refs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Best corpus documents for each parsable reference: ref_id, doc_id, score, tiebreak.
+_CITED = ["wants", "title", "section", "part"]
 
-    A title of the right parser scores 3, of another 2; a section that is the
-    cited one, or covers it, or the cited part, raises that to 5, 4 and 5 (3, 2
-    and 3).  Titles are joined by equality, sections by their prefixes."""
-    cited = parsed(refs).select("ref_id", F.coalesce("usc_title", "cfr_title").alias("title"), F.when(F.col("usc_title").isNotNull(), "uslm").otherwise("cfr").alias("wants"), F.col("usc_section").alias("section"), F.col("cfr_part").alias("part")).where("title IS NOT NULL")
+
+def _by_citation(refs: DataFrame) -> DataFrame:
+    """parsed() with what is cited as columns without nulls, together by these,
+    so that each citation is parsed once and equal ones are looked up once."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    cited = [F.when(F.col("usc_title").isNotNull(), "uslm").otherwise("cfr").alias("wants"), text(F.coalesce("usc_title", "cfr_title")).alias("title"), text(F.col("usc_section")).alias("section"), text(F.col("cfr_part")).alias("part")]
+    return parsed(refs).select("ref_id", "form", F.coalesce("usc_section", "cfr_section").alias("number"), *cited).repartition(*_CITED)
+
+
+def _best(cited: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The best documents of each different citation: _CITED, doc_id, score, tiebreak."""
+    cited = cited.where("title <> ''").select(*_CITED).distinct()
     titles = corpus.select("doc_id", "parser_type", F.explode(F.coalesce(F.col("org_keys")["title"], F.array())).alias("title")).distinct()
     met = cited.join(titles, "title").withColumn("right_type", F.col("wants") == F.col("parser_type"))
     sections = corpus.select("doc_id", F.explode(F.coalesce(F.col("content_items")["section"], F.array())).alias("designator")).distinct()
-    has = longest_prefix(met.where("section IS NOT NULL").select("doc_id", F.col("section").alias("cited")).distinct(), sections, designator_prefix, ["doc_id"]).withColumnRenamed("cited", "section")
+    has = longest_prefix(met.where("section <> ''").select("doc_id", F.col("section").alias("cited")).distinct(), sections, designator_prefix, ["doc_id"]).withColumnRenamed("cited", "section")
     parts = corpus.select("doc_id", F.explode(F.coalesce(F.col("org_keys")["part"], F.array())).alias("part")).distinct().withColumn("has_part", F.lit(True))
     met = met.join(has, ["doc_id", "section"], "left").join(parts, ["doc_id", "part"], "left")
     exact = (F.col("matched") == F.col("section")) | F.coalesce("has_part", F.lit(False))
     base = F.when(F.col("right_type"), 3).otherwise(2)
     score = F.when(F.coalesce(exact, F.lit(False)), F.when(F.col("right_type"), 5).otherwise(3)).when(F.col("matched").isNotNull(), F.when(F.col("right_type"), 4).otherwise(2)).otherwise(base)
     tie = F.coalesce(F.length("matched"), F.when(F.col("has_part"), F.length("part")), F.lit(0))
-    best = F.rank().over(Window.partitionBy("ref_id").orderBy(F.desc("score"), F.desc("tiebreak")))
-    return met.select("ref_id", "doc_id", score.alias("score"), tie.alias("tiebreak")).withColumn("_r", best).where("_r = 1").drop("_r")
+    best = F.rank().over(Window.partitionBy(*_CITED).orderBy(F.desc("score"), F.desc("tiebreak")))
+    return met.select(*_CITED, "doc_id", score.alias("score"), tie.alias("tiebreak")).withColumn("_r", best).where("_r = 1").drop("_r")
+
+
+def candidates(refs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Best corpus documents for each parsable reference: ref_id, doc_id, score, tiebreak.
+
+    A title of the right parser scores 3, of another 2; a section that is the
+    cited one, or covers it, or the cited part, raises that to 5, 4 and 5 (3, 2
+    and 3).  Titles are joined by equality, sections by their prefixes."""
+    cited = _by_citation(refs)
+    return cited.join(_best(cited, corpus), _CITED).select("ref_id", "doc_id", "score", "tiebreak")
 
 
 def resolve(refs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Outcome of each reference: resolved by one candidate, ambiguous by
     several, not_in_corpus by none; what can't be parsed stays unresolved."""
-    best = candidates(refs, corpus).groupBy("ref_id").agg(F.count("*").alias("n_candidates"), F.min("doc_id").alias("least"), F.max("score").alias("score"))
-    rows = parsed(refs).join(best, "ref_id", "left")
+    cited = _by_citation(refs)
+    best = _best(cited, corpus).groupBy(*_CITED).agg(F.count("*").alias("n_candidates"), F.min("doc_id").alias("least"), F.max("score").alias("score"))
+    rows = cited.join(best, _CITED, "left")
     n = F.coalesce("n_candidates", F.lit(0))
     one = n == 1
-    number = F.coalesce("usc_section", "cfr_section")
     status = F.when(F.col("form").isNull(), "unresolved").when(n == 0, "not_in_corpus").when(one, "resolved").otherwise("ambiguous")
-    return rows.select("ref_id", status.alias("status"), n.cast("int").alias("n_candidates"), F.coalesce("score", F.lit(0)).alias("score"), F.when(one, F.col("least")).alias("target_doc_id"), F.when(one & number.isNotNull(), "section").alias("target_item_type"), F.when(one, number).alias("target_item_number"))
+    return rows.select("ref_id", status.alias("status"), n.cast("int").alias("n_candidates"), F.coalesce("score", F.lit(0)).alias("score"), F.when(one, F.col("least")).alias("target_doc_id"), F.when(one & F.col("number").isNotNull(), "section").alias("target_item_type"), F.when(one, F.col("number")).alias("target_item_number"))
 
 
 def retry(refs: DataFrame, corpus: DataFrame) -> DataFrame:

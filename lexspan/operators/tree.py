@@ -90,13 +90,17 @@ def ranges(units: DataFrame, wanted: DataFrame, parity: bool = False) -> DataFra
 
     parity: an end that comes again or before the other leaves the range open,
     so equal or reversed ends run to the document's end."""
-    at = units.groupBy("doc_id", "type_key", "unit_id").agg(F.min("ord").alias("at"))
-    ends = wanted.join(at.select("doc_id", "type_key", F.col("unit_id").alias("first_id"), F.col("at").alias("a")), ["doc_id", "type_key", "first_id"])
+    here = Window.partitionBy("doc_id", "type_key")
+    placed = units.select("doc_id", "type_key", "unit_id", "ord").withColumns({"_pos": F.row_number().over(here.orderBy("ord")), "_n": F.count("*").over(here)})
+    at = placed.groupBy("doc_id", "type_key", "unit_id").agg(F.min("_pos").alias("at"), F.max("_n").alias("_n"))
+    ends = wanted.join(at.select("doc_id", "type_key", F.col("unit_id").alias("first_id"), F.col("at").alias("a"), F.col("_n").cast("int").alias("last")), ["doc_id", "type_key", "first_id"])
     ends = ends.join(at.select("doc_id", "type_key", F.col("unit_id").alias("last_id"), F.col("at").alias("b")), ["doc_id", "type_key", "last_id"])
-    inside = F.col("ord").between(F.least("a", "b"), F.greatest("a", "b"))
+    inside = F.sequence(F.least("a", "b"), F.greatest("a", "b"))
     if parity:
-        inside = F.when(F.col("a") < F.col("b"), F.col("ord").between(F.col("a"), F.col("b"))).otherwise((F.col("ord") == F.col("b")) | (F.col("ord") >= F.col("a")))
-    return ends.join(units.select("doc_id", "type_key", "unit_id", "ord"), ["doc_id", "type_key"]).where(inside).select("range_id", "doc_id", "type_key", "unit_id", "ord")
+        inside = F.when(F.col("a") < F.col("b"), inside).otherwise(F.array_union(F.array("b"), F.sequence("a", "last")))
+    # positions are exploded and joined by equality, so that a range meets no unit outside
+    met = ends.select("range_id", "doc_id", "type_key", F.explode(inside).alias("_pos")).join(placed, ["doc_id", "type_key", "_pos"])
+    return met.select("range_id", "doc_id", "type_key", "unit_id", "ord")
 
 
 def begin_stop(units: DataFrame, by: list[str]) -> DataFrame:

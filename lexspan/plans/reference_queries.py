@@ -35,15 +35,11 @@ WHEN 0 THEN 'Section ' || l_partkey || ' of title ' || l_suppkey || ', United St
 WHEN 3 THEN 'title ' || l_suppkey || ', United States Code' WHEN 4 THEN l_suppkey || ' C.F.R. § ' || l_partkey || '.5' WHEN 5 THEN l_suppkey || ' C.F.R. Part ' || l_partkey WHEN 6 THEN l_suppkey || ' C.F.R.'
 WHEN 7 THEN l_suppkey || ' CFR part ' || l_partkey WHEN 8 THEN 'sections ' || l_partkey || ' and 6 of the Act' ELSE l_suppkey || ' U.S.C. ' || l_partkey END AS ref_text FROM lineitem)"""
 
-_FORM_SQL = "CASE " + " ".join(f"WHEN regexp_matches(ref_text, '{p}') THEN '{n}'" for n, p, _ in citations.PATTERNS) + " END"
-
-
-def _field_sql(field: str) -> str:
-    got = " ".join(f"WHEN '{n}' THEN regexp_extract(ref_text, '{p}', {g[field]})" for n, p, g in citations.PATTERNS if field in g)
-    return f"CASE form {got} END AS {field}"
-
-
-_PARSED_SQL = f"{_REFS_SQL}, forms AS (SELECT *, {_FORM_SQL} AS form FROM refs), parsed AS (SELECT *, {', '.join(map(_field_sql, citations.FIELDS))} FROM forms)"
+# what each of the ten forms means, written out by hand
+_PARSED_SQL = f"""{_REFS_SQL}, split AS (SELECT ref_id, ref_text, ref_id // 10000000000 % 10 AS k, (ref_id % 10000)::VARCHAR AS t, (ref_id // 10000 % 100000)::VARCHAR AS s FROM refs),
+parsed AS (SELECT ref_id, ref_text, ['usc_of_title', 'usc_section', 'usc_title', 'usc_code', 'cfr_section', 'cfr_part', 'cfr_title', 'part', NULL, 'usc_section'][k + 1] AS form,
+CASE WHEN k IN (0, 1, 2, 3, 9) THEN t END AS usc_title, CASE WHEN k IN (0, 9) THEN s WHEN k = 1 THEN s || 'a' END AS usc_section, CASE WHEN k IN (4, 5, 6) THEN t END AS cfr_title,
+CASE WHEN k IN (4, 5) THEN s END AS cfr_part, CASE WHEN k = 4 THEN s || '.5' END AS cfr_section, CASE WHEN k = 7 THEN s END AS part_only FROM split)"""
 
 
 def citation_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,21 +75,25 @@ out AS (SELECT p.*, coalesce(n, 0) AS n, coalesce(b.score, 0) AS score, b.doc_id
 SELECT status, score, count(*) AS n_refs, sum(n)::BIGINT AS n_candidates, sum(CASE WHEN n = 1 THEN doc_id END)::BIGINT AS sum_targets, count(CASE WHEN n = 1 THEN coalesce(usc_section, cfr_section) END) AS n_items FROM out GROUP BY status, score"""
 
 
+_TAILS = ["", "(g)", "a", "5", ".a.8", "-2", "a1", "ab"]
+
+
 def _prefix(kind: str, exact: bool):
     covers = {"designator": citations.designator_prefix, "enclosing": citations.enclosing_prefix, "plain": citations.plain_prefix}[kind]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = table(spark, sf_dir, "part")
-        tail = F.element_at(F.array(*[F.lit(x) for x in ("", "(g)", "a", "5", ".a.8", "-2")]), (F.col("p_size") % 6 + 1).cast("int"))
+        tail = F.element_at(F.array(*[F.lit(x) for x in _TAILS]), (F.col("p_size") % len(_TAILS) + 1).cast("int"))
         cited = p.select(F.col("p_partkey").alias("ref"), F.lit("section").alias("type_key"), F.concat(F.col("p_partkey").cast("string"), tail).alias("cited"))
-        ids = p.where("p_partkey % 3 <> 0").select(F.lit("section").alias("type_key"), F.col("p_partkey").cast("string").alias("designator"))
+        own = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 3, "a").otherwise(""))
+        ids = p.where("p_partkey % 4 <> 0").select(F.lit("section").alias("type_key"), own.alias("designator"))
         return tree.longest_prefix(cited, ids, covers, ["type_key"], exact).select("ref", "cited", "matched")
 
     return query
 
 
 def _prefix_sql(ok: str) -> str:
-    return f"""WITH c AS (SELECT p_partkey AS ref, p_partkey || ['', '(g)', 'a', '5', '.a.8', '-2'][p_size % 6 + 1] AS cited FROM part), u AS (SELECT p_partkey::VARCHAR AS d FROM part WHERE p_partkey % 3 <> 0),
+    return f"""WITH c AS (SELECT p_partkey AS ref, p_partkey || {_TAILS}[p_size % {len(_TAILS)} + 1] AS cited FROM part), u AS (SELECT p_partkey || CASE WHEN p_partkey % 4 = 3 THEN 'a' ELSE '' END AS d FROM part WHERE p_partkey % 4 <> 0),
 t AS (SELECT ref, cited, unnest(range(1, len(cited) + 1)) AS n FROM c), m AS (SELECT ref, arg_max(d, len(d)) AS matched FROM t JOIN u ON left(cited, n) = d WHERE {ok} GROUP BY ref)
 SELECT ref, cited, matched FROM c LEFT JOIN m USING (ref)"""
 
@@ -170,7 +170,7 @@ QUERIES = {
 ORACLES = {
     "citation_parse": f"WITH {_PARSED_SQL} SELECT form, count(*) AS n_refs, {', '.join(f'count({f}) AS n_{f}' for f in citations.FIELDS)}, max(usc_section) AS max_section, max(cfr_section) AS max_cfr_section FROM parsed GROUP BY form",
     "citation_resolution": _RESOLVED_SQL,
-    "prefix_designator": _prefix_sql(f"d = cited OR {_NEXT} IN ('.', '-', '_') OR NOT regexp_matches({_NEXT}, '[0-9]')"),
+    "prefix_designator": _prefix_sql(f"d = cited OR {_NEXT} IN ('.', '-', '_') OR regexp_matches({_NEXT}, '[0-9]') <> regexp_matches(right(d, 1), '[0-9]')"),
     "prefix_enclosing": _prefix_sql(f"d = cited OR NOT regexp_matches({_NEXT}, '[A-Za-z0-9]')"),
     "prefix_plain": _prefix_sql("true"),
     "dedup_by_stage": _STAGE_SQL,

@@ -77,12 +77,18 @@ def breakpoint_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in chunks of 1,500 characters at most, at line breaks if possible: how many, and that nothing is lost."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    starts = F.transform(F.split("text", "\n"), lambda s: F.length(s) + 1)
-    points = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda n: F.struct(F.aggregate(F.slice(starts, F.lit(1), n), F.lit(0), lambda a, x: a + x).alias("pos"), F.lit(1).alias("prio")))
-    got = chunking.chunks(d, F.col("doc_id"), F.col("text"), points, 1500)
-    return got.groupBy(F.col("key").cast("long").alias("doc_id")).agg(F.sum(F.length("chunk")).alias("n_chars"), F.max(F.length("chunk") <= 1500).alias("fits"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")).alias("whole"))
+    """Documents in chunks of 1,500 characters at most: each ends at the last line
+    break within reach, else after the last white space, else at the limit."""
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    whole = chunking.assemble(lines, ["doc_id"])
+    points = F.transform("breakpoints", lambda b: F.struct(b["pos"].alias("pos"), F.lit(1).alias("prio")))
+    got = chunking.chunks(whole, F.col("doc_id"), F.col("text"), points, 1500)
+    return got.select(F.col("key").cast("long").alias("doc_id"), "seq", "start", "end", F.md5("chunk").alias("chunk"))
+
+
+_CHUNK_SQL = r"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS seq, 0::BIGINT AS a FROM documents WHERE text <> ''
+UNION ALL SELECT doc_id, text, seq + 1, b FROM (SELECT doc_id, text, seq, a + CASE WHEN len(text) - a <= 1500 THEN len(text) - a WHEN regexp_matches(w, '\n') THEN len(regexp_extract(w, '(?s)^(.*\n)', 1)) WHEN regexp_matches(w, '\s') THEN len(regexp_extract(w, '(?s)^(.*\s)', 1)) ELSE 1500 END AS b FROM (SELECT *, substr(text, a + 1, 1500) AS w FROM c)) WHERE b < len(text))
+SELECT doc_id, seq, a::INT AS start, e::INT AS "end", md5(substr(text, a + 1, e - a)) AS chunk FROM (SELECT *, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY seq), len(text)) AS e FROM c)"""
 
 
 def chunk_text_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,12 +161,11 @@ def budget_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def close_match_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items most like each other's beginnings."""
+    """Benchmark items most like each other, one pool for all, in whole texts and whatever their case."""
     b = table(spark, sf_dir, "benchmark")
-    lang = F.left("text", F.lit(1))
-    prop = b.select(lang.alias("question_id"), F.col("item_id").alias("prop_id"), F.left("text", F.lit(60)).alias("content"))
-    pool = b.select(lang.alias("question_id"), "item_id", F.left(F.upper("text"), F.lit(66)).alias("content"))
-    return ranking.neighbours(prop, pool).select("prop_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+    one = F.lit(0).alias("question_id")
+    pool = b.select(one, "item_id", F.upper("text").alias("content"))
+    return ranking.neighbours(b.select(one, F.col("item_id").alias("prop_id"), F.col("text").alias("content")), pool).select("prop_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def exhausted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +216,7 @@ ORACLES = {
     "near_duplicate_primary": _SAME_SQL,
     "paragraph_breakpoints": _PARAGRAPH_SQL,
     "breakpoint_dedup": "SELECT l_orderkey, string_agg(pos || ':' || prio, ' ' ORDER BY pos) AS points FROM (SELECT l_orderkey, l_partkey % 50 AS pos, min(l_suppkey % 4) AS prio FROM lineitem GROUP BY 1, 2) GROUP BY 1",
-    "chunk_text": "SELECT doc_id, len(text)::BIGINT AS n_chars, true AS fits, md5(text) AS whole FROM documents WHERE text <> ''",
+    "chunk_text": _CHUNK_SQL,
     "signature_hash": "SELECT doc_id, sha256(coalesce(text, '') || chr(0) || coalesce(lang, '') || chr(0) || chr(0) || coalesce(source, '')) AS signature FROM documents",
     "diff_units": "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'added' WHEN doc_id % 11 = 0 THEN 'removed' ELSE 'modified' END AS change FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 13 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)",
     "cache_union_first_wins": f"SELECT count(*) AS n_entries, sum(f)::BIGINT AS sum_first, min(k) AS least_key FROM (SELECT {_KEY} AS k, min(doc_id) AS f FROM documents GROUP BY 1)",

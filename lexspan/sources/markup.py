@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspan.operators.outline import APPENDIX_KINDS
+
 TABLE_ROWS = 30
 UNIT_SCHEMA = (
     "path string, unit_type string, unit_id string, unit_path string, parent_unit_path string, org_path string, ord long, depth int, "
@@ -150,13 +152,14 @@ class Units:
     """Rows of one file."""
 
     rows: list[dict] = field(default_factory=list)
+    taken: set[str] = field(default_factory=set)
 
     def add(self, kind: str, ident: str, org: list[tuple[str, str]], title: str, text: Text | None, parent: dict | None = None, **more: object) -> dict:
         org_path = "/".join(f"{k}_{v}" for k, v in org)
         base = parent["unit_path"] if parent else ""
-        taken = {r["unit_path"] for r in self.rows if r["unit_type"] == kind and r["parent_unit_path"] == (base or None)}
-        while (path := f"{base}/{kind}_{ident}".lstrip("/")) in taken:
+        while (path := f"{base}/{kind}_{ident}".lstrip("/")) in self.taken:
             ident += "_dup"
+        self.taken.add(path)
         body, points = text.done() if text else ("", [])
         row = {
             "unit_type": kind, "unit_id": ident, "unit_path": path, "parent_unit_path": base or None, "org_path": org_path, "ord": len(self.rows),
@@ -230,10 +233,10 @@ def render(n: Node, out: Text, pending: list[Node], notes: bool = True, top: boo
         out.line()
 
 
-def _unit_of(n: Node, units: Units, kind: str, ident: str, org: list[tuple[str, str]], title: str, **more: object) -> dict:
+def _unit_of(n: Node, units: Units, kind: str, ident: str, org: list[tuple[str, str]], title: str, parent: dict | None = None, **more: object) -> dict:
     out, pending = Text(), []
     render(n, out, pending)
-    row = units.add(kind, ident, org, title, out, **more)
+    row = units.add(kind, ident, org, title, out, parent, **more)
     units.tables(pending, row, org)
     return row
 
@@ -241,9 +244,25 @@ def _unit_of(n: Node, units: Units, kind: str, ident: str, org: list[tuple[str,
 USLM_LEVELS = ["title", "subtitle", "division", "subdivision", "part", "subpart", "chapter", "subchapter", "article", "subarticle", "appendix"]
 
 
-def parse_uslm(data: bytes) -> list[dict]:
-    """Sections below titles, chapters and so on; a repeated section number is an error."""
+def parse_uslm(data: bytes, specific: dict[str, str] | None = None) -> list[dict]:
+    """Sections below titles, chapters and so on; a repeated section number is an error.
+
+    specific: only sections whose levels are as given.  Sections that stand in a
+    section (in an act that it quotes, say) are its sub-units, besides being in its text."""
     units = Units()
+    seen: set[str] = set()
+
+    def inner(n: Node, org: list[tuple[str, str]], owner: dict) -> None:
+        for k in n.kids:
+            if not isinstance(k, Node):
+                continue
+            if k.tag == "section":
+                num, head = k.child("num"), k.child("heading")
+                value = num.attrs.get("value") or squeeze(num.texts()) if num else ""
+                row = _unit_of(k, units, "section", value or f"Blank_{len(units.rows) + 1}", org, squeeze(plain(head.texts())) if head else "", parent=owner)
+                inner(k, org, row)
+            else:
+                inner(k, org, owner)
 
     def walk(n: Node, org: list[tuple[str, str]]) -> None:
         for k in n.kids:
@@ -252,9 +271,11 @@ def parse_uslm(data: bytes) -> list[dict]:
             num, head = k.child("num"), k.child("heading")
             value = num.attrs.get("value") or squeeze(num.texts()) if num else ""
             if k.tag == "section":
-                if any(r["unit_type"] == "section" and r["unit_id"] == value for r in units.rows):
+                if value in seen:
                     raise ValueError(f"section {value} appears twice")
-                _unit_of(k, units, "section", value, org, squeeze(plain(head.texts())) if head else "")
+                seen.add(value)
+                if context_matches(specific, org):
+                    inner(k, org, _unit_of(k, units, "section", value, org, squeeze(plain(head.texts())) if head else ""))
             elif k.tag in USLM_LEVELS and value:
                 walk(k, [*org, (k.tag, value)])
             else:
@@ -274,9 +295,14 @@ def context_matches(wanted: dict[str, str] | None, org: list[tuple[str, str]]) -
 
 
 def parse_ecfr(data: bytes, specific: dict[str, str] | None = None, residual: bool = False) -> list[dict]:
-    """Sections and appendices below DIVs.  specific: only those whose levels are
-    as given; residual: without what stands in parts."""
+    """Sections and appendix-like units below DIVs.  specific: only those whose
+    levels are as given; residual: without what stands in parts.
+
+    Appendices have the kind that their name opens with (supplement, schedule,
+    table, ...).  Of those of one kind and name a blank one goes where another has a text, and
+    further texts get _dup."""
     units = Units()
+    first: dict[tuple, dict] = {}
 
     def walk(n: Node, org: list[tuple[str, str]]) -> None:
         for k in n.kids:
@@ -292,8 +318,19 @@ def parse_ecfr(data: bytes, specific: dict[str, str] | None = None, residual: bo
             elif kind in _ECFR_LEVELS:
                 walk(k, [*org, (_ECFR_LEVELS[kind], ident)] if ident else org)
             elif kind in ("SECTION", "APPENDIX") and context_matches(specific, org):
-                name = re.sub(r"^(?:§+|Appendix|Supplement No\.?)\s*", "", ident)
-                row = _unit_of(k, units, kind.lower(), name or f"Blank_{len(units.rows) + 1}", org, re.sub(r"^§+\s*\S+\s*", "", title))
+                name = re.sub(r"^§+\s*", "", ident)
+                label = "section"
+                if kind == "APPENDIX":
+                    label, name = appendix_of(name)
+                    before = first.get((label, name, *org))
+                    if before and not _body(k).strip():
+                        continue
+                    if before and not before["text"].strip():
+                        units.rows.remove(before)
+                        units.taken.discard(before["unit_path"])
+                row = _unit_of(k, units, label, name or f"Blank_{len(units.rows) + 1}", org, re.sub(r"^§+\s*\S+\s*", "", title))
+                if kind == "APPENDIX" and not (before and before["text"].strip()):
+                    first[label, name, *org] = row
                 if "[reserved]" in title.lower():
                     row["annotation"] = "[Reserved]"
             else:
@@ -303,6 +340,21 @@ def parse_ecfr(data: bytes, specific: dict[str, str] | None = None, residual: bo
     return units.rows
 
 
+def appendix_of(name: str) -> tuple[str, str]:
+    """The kind that an appendix's name opens with, and the name without it."""
+    for word, plural in APPENDIX_KINDS:
+        if name.lower().startswith(word + " "):
+            full = next(w for w, p in APPENDIX_KINDS if p == plural)
+            return full, name[len(word) + 1 :].strip()
+    return "appendix", name
+
+
+def _body(n: Node) -> str:
+    out = Text()
+    render(n, out, [])
+    return out.done()[0]
+
+
 def parse_formex(data: bytes) -> list[dict]:
     """Recitals, articles and annexes of an EU act."""
     top = from_xml(data)

@@ -175,7 +175,7 @@ def test_model_calls_are_cached(spark):
     got, full = model.answered(calls, none, model.Stub(), ["score"])
     assert full.count() == 2 and got.where("response IS NULL").count() == 0
     units = spark.createDataFrame([("section", str(i), f"summary {i}") for i in range(20)], "type_key string, unit_id string, summary string")
-    scores, facts = model.analyse(units, "why?", model.Stub(), none)
+    scores, facts, _ = model.analyse(units, "why?", model.Stub(), none)
     assert {r.score for r in scores.collect()} <= {0, 1, 2, 3} and facts.count() >= 0
 
     class Bad:
