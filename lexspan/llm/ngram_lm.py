@@ -184,7 +184,7 @@ def _unpack(b: bytes, n: int) -> tuple[list[np.ndarray], np.ndarray, list[np.nda
         s = np.cumsum(d)
         if len(d):
             s -= np.repeat(s[start] - d[start], np.diff(np.r_[start, len(d)]))
-        columns.append(s)
+        columns.append(s.astype(np.int32))
         start = _starts(*columns)
     return columns, words, [_expand(p) for p in parts[head + n :]]
 
@@ -193,6 +193,7 @@ def _gathered(bodies: list[bytes], n: int) -> tuple[list[np.ndarray], np.ndarray
     """All that was sent, summed: columns, words, values."""
     got = [_unpack(b, n) for b in bodies]
     words, number = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+    number = number.astype(np.int32)
     base = np.cumsum([0, *(len(g[1]) for g in got)])
     columns = [np.concatenate([number[g[0][k] + a] for g, a in zip(got, base)]) for k in range(n)]
     values = [np.concatenate(v) for v in zip(*(g[2] for g in got))]
@@ -597,22 +598,27 @@ class Scorer:
         counted once, twice and more; zeros where there is none."""
         level = len(words)
         keys, by = _key(words, self.m.bits) if level == self.m.order else [_hash(words, self.m.bits)] * 2
-        s = _shard(by, self.m.shards)
-        order = np.lexsort((keys, s))
-        start = _starts(s[order], keys[order])
-        different, s = keys[order[start]], s[order[start]]
-        got = np.zeros((5, len(different)), np.int64)
+        # by shard, and near each other in it; an n-gram that stands apart from its like is looked up again
+        order = np.argsort(keys if by is keys else (by & U64(0xFFFFFF << 40)) | (keys >> U64(24)))
+        ordered = keys[order]
+        start = _starts(ordered)
+        different = ordered[start]
+        s = _shard(by[order[start]], self.m.shards)
+        got = np.zeros((1 if level == self.m.order else 5, len(different)), np.int64)
         cut = np.r_[_starts(s), len(s)]
         for a, b in zip(cut[:-1], cut[1:]):
             for table, count, context in self.shard(level, int(s[a])):
                 place = table.find(different[a:b])
                 hit = np.flatnonzero(place >= 0)
-                for values, where in ((count, slice(0, 1)), (context, slice(1, 5))):
+                for values, where in ((count, got[:1]), (context, got[1:])):
                     if values is not None:
-                        got[where, a + hit] = values.at(place[hit])
-        out = np.empty((5, len(keys)), np.int64)
-        out[:, order] = np.repeat(got, np.diff(np.r_[start, len(keys)]), axis=1)
-        return out[0], list(out[1:])
+                        where[:, a + hit] = values.at(place[hit])
+        times = np.diff(np.r_[start, len(keys)])
+        out = []
+        for g in got:
+            out.append(np.empty(len(keys), np.int64))
+            out[-1][order] = np.repeat(g, times)
+        return out[0], out[1:]
 
     def lowest(self, c: np.ndarray) -> np.ndarray:
         """P(word) from the word's count at level 1."""
