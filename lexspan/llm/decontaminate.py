@@ -42,6 +42,12 @@ UNITS = (
     "cent cents dollar dollars usd euro euros eur percent degree degrees celsius fahrenheit kph mph watt watts kw kwh volt volts joule joules byte bytes kb mb gb tb"
 ).split()
 
+#: Spelled-out numbers; "one" is a word, as it mostly stands for something else.
+NUMBER_WORDS = (
+    "zero two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+
 _WORD = np.zeros(256, np.uint8)
 _WORD[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
 _WORD[48:58] = 2
@@ -55,11 +61,15 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return tx.word_hash(np.frombuffer(data + bytes(16), np.uint8), ends - np.array([len(w.encode()) for w in words]), ends)
 
 
+def _among(word: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, word), len(known) - 1)] == word
+
+
 def _is_unit(word: np.ndarray) -> np.ndarray:
-    return _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, word), len(_UNIT_HASHES) - 1)] == word
+    return _among(word, _UNIT_HASHES)
 
 
-_UNIT_HASHES = np.sort(_hash_of(UNITS))
+_UNIT_HASHES, _NUMBER_HASHES = np.sort(_hash_of(UNITS)), np.sort(_hash_of(NUMBER_WORDS))
 _PLACE = tx.mix(np.arange(4, dtype=U64), 77)
 
 
@@ -105,18 +115,18 @@ class Template:
         begins = self.first[:-1][np.diff(self.first) > 0]
         opens[begins] = True
         word = tx.word_hash(low, start, end)
-        number = kind[start] == 2
+        number = (kind[start] == 2) | _among(word, _NUMBER_HASHES)
         after_number = np.zeros(len(start), bool)
         after_number[1:] = number[:-1]
         after_number[begins] = False
         unit = np.zeros(len(start), bool)
         maybe = np.flatnonzero(after_number)
         unit[maybe] = _is_unit(word[maybe])
-        name = capital[start] & ~opens & ~unit
+        name = capital[start] & ~opens & ~unit & ~number
         kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, 0)))
         self.key = np.where(kinds > 0, _PLACE[kinds], word)
         self.slot = np.where(kinds > 0, (word & ~U64(3)) | kinds.astype(U64), U64(0))
-        self.opener = capital[start] & opens & ~unit
+        self.opener = capital[start] & opens & ~unit & ~number
         self.open_key = np.where(self.opener, _PLACE[NAME], self.key)
         self.open_slot = np.where(self.opener, (word & ~U64(3)) | U64(NAME), self.slot)
         self.word, self.number = word, number
@@ -295,14 +305,14 @@ def _judge(share: float, tokens: int) -> Callable[[tuple, pa.Table], pa.Table]:
 def _leaks(docs: DataFrame, benchmark: DataFrame, window: int, share: float, tokens: int, broadcast_bytes: int) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     items = items.mapInArrow(_item_windows(window), "h long, n int, item_id long, item_at int, item_tokens int, item_numbers boolean, item_slots array<long>")
-    size = {r["n"]: r["c"] for r in items.groupBy("n").agg(F.countDistinct("h").alias("c")).collect()}
+    size = {r["n"]: (r["c"], r["rows"]) for r in items.groupBy("n").agg(F.countDistinct("h").alias("c"), F.count("*").alias("rows")).collect()}
     known = None
-    small = lambda x: x
-    if sum(size.values()) * ROW_BYTES <= broadcast_bytes:
+    # many items may share a window, so what is broadcast is counted by rows
+    small = F.broadcast if sum(rows for _, rows in size.values()) * ROW_BYTES <= broadcast_bytes else (lambda x: x)
+    if sum(c for c, _ in size.values()) * ROW_BYTES <= broadcast_bytes:
         found = items.select("n", "h").distinct().toArrow()
         n, h = found["n"].to_numpy(), found["h"].to_numpy().view(U64)
         known = {int(k): np.sort(h[n == k]) for k in np.unique(n)}
-        small = F.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     met = rows.mapInArrow(_doc_windows(sorted(size), window, known), "h long, doc_id long, th long, doc_at int, doc_slots array<long>")
     return met.join(small(items), "h").groupBy("doc_id", "th").applyInArrow(_judge(share, tokens), "doc_id long, th long, item_id long, covered int, item_tokens int, reparameterised boolean")
@@ -317,7 +327,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     them.  Placeholders must be consistent within an occurrence of the item, not
     between several; the one that covers most counts.  reparameterised tells
     whether some number, name or unit differs there from the item's; it is
-    false if an occurrence where none does covers as many.  Numbers are runs of digits (with . and , inside), names are
+    false if an occurrence where none does covers as many.  Numbers are runs of
+    digits (with . and , inside) and the words of NUMBER_WORDS, each by itself, names are
     words with a capital, and units are the words of UNITS after a number.  A word
     with a capital that opens a sentence is tried as a plain word and as a name.  Windows with
     fewer than MIN_LITERALS words, numbers, names and units aside, must be met
@@ -328,7 +339,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     Null and empty texts, of documents or items, and items of a null item_id
     match nothing.  Null doc_ids stay null, and all rows of a null doc_id and
     equal text are one document; so are repeated rows.  Items of equal text are
-    found each.  Items that share an item_id are told apart by their length only.
+    found each.  Items that share an item_id and a length are one item, which any
+    of their windows cover.
     Texts are read whole; other columns are ignored; an empty documents table
     or benchmark gives an empty result.
     """

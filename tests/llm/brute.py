@@ -100,6 +100,82 @@ def repetition(text, lengths):
     return out, dup / sum(map(len, lines)) if lines else 0.0
 
 
+def template(text):
+    """Tokens with their kinds: (word in lower case, kind, whether a capital opens a sentence)."""
+    import re
+
+    from lexspan.llm import decontaminate as d
+
+    out, last = [], 0
+    for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text or ""):
+        word, low = m[0], m[0].lower()
+        opens = not out or re.search(r"[.!?:\n]", text[last : m.start()]) is not None
+        number = word[0].isdigit() or low in d.NUMBER_WORDS
+        unit = bool(out) and out[-1][1] == "number" and low in d.UNITS
+        capital = word[0].isupper()
+        kind = "number" if number else "unit" if unit else "name" if capital and not opens else None
+        out.append((low, kind, capital and opens and not unit and not number, capital))
+        last = m.end()
+    return out
+
+
+def leaks(docs, items, window=8, share=0.5, least=20):
+    """{(doc_id, item_id): tokens covered} of pairs over the share, without
+    occurrences that words were put into or left out of.  Values that fit equally
+    often go by their hash, as there."""
+    import numpy as np
+
+    from lexspan.llm import _text as tx
+    from lexspan.llm import decontaminate as d
+
+    def code(value):
+        raw = value[1].encode()
+        h = int(tx.word_hash(np.frombuffer(raw + bytes(16), np.uint8), np.array([0]), np.array([len(raw)]))[0]) & ~3 | {"number": d.NUMBER, "name": d.NAME, "unit": d.UNIT}[value[0]]
+        return h - (1 << 64) if h >> 63 else h
+
+    def windows(tokens, n):
+        for at in range(len(tokens) - n + 1):
+            w = tokens[at : at + n]
+            for opened in (False, True):
+                kinds = ["name" if opened and o else k for _, k, o, _ in w]
+                if opened and not any(o for *_, o, _ in w):
+                    continue
+                if sum(k is None for k in kinds) >= min(d.MIN_LITERALS, n):
+                    yield at, ("t", *(k or low for k, (low, *_) in zip(kinds, w))), [(k, low) if k else None for k, (low, *_) in zip(kinds, w)]
+            plain = sum(k != "number" and not c and low not in d.UNITS for low, k, _, c in w)
+            if n < window or plain < min(d.MIN_LITERALS, n):
+                yield at, ("v", *(low for low, *_ in w)), [None] * n
+
+    out = {}
+    for item, text in items:
+        mine = template(text)
+        if item is None or not mine:
+            continue
+        n = min(window, len(mine))
+        have = defaultdict(list)
+        for at, key, slots in windows(mine, n):
+            if key[0] == "v" or len(mine) >= d.MIN_ITEM:
+                have[key].append((at, slots))
+        for doc, said in docs:
+            met = defaultdict(list)
+            for there, key, slots in windows(template(said), n):
+                for at, own in have[key]:
+                    met[there - at].append((at, own, slots))
+            best = 0
+            for group in [*met.values(), [w for g in met.values() for w in g]]:
+                pairs = Counter((a, b) for _, own, theirs in group for a, b in zip(own, theirs) if a)
+                to, taken = {}, {}
+                for (a, b), _ in sorted(pairs.items(), key=lambda x: (-x[1], code(x[0][0]), code(x[0][1]))):
+                    if a not in to and (b[0] != "name" or taken.get(b, a) == a):
+                        to[a] = b
+                        taken[b] = a
+                fits = [at for at, own, theirs in group if own == theirs or all(to.get(a) == b for a, b in zip(own, theirs) if a)]
+                best = max(best, len({k for at in fits for k in range(at, at + n)}))
+            if best and (best >= share * len(mine) or best >= least):
+                out[doc, item] = best
+    return out
+
+
 def kneser_ney(texts, order):
     """P(word | context) by definition; words of a text with marks around it."""
     seqs = [["<s>"] * (order - 1) + words(t) + ["</s>"] for t in texts if words(t)]
