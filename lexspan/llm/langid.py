@@ -157,7 +157,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, families: dict[
     predicted_lang, margin).
 
     labelled (by default docs) has doc_id, text and lang; rows of a null lang
-    don't train.  About `sample` rows of each language do, drawn by a hash of
+    and those without text don't train.  About `sample` rows of each language do, drawn by a hash of
     doc_id, or all if there are fewer; of several rows of one doc_id and lang
     the one of the least text.  A family or language wins by most duels won,
     then by the greater sum of margins, then by the alphabet.  margin is the lesser of the mean
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, families: dict[
     gives an empty result.
     """
     families = FAMILIES if families is None else families
-    known = (docs if labelled is None else labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = (docs if labelled is None else labelled).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("doc_id IS NOT NULL AND trim(text) <> ''")
     chosen = at_most_each(known, "doc_id", "lang", sample).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     machines = chosen.select("doc_id", "text", "lang", F.lit(0).alias("_one")).groupBy("_one").applyInArrow(_train(families, bits, epochs), "level string, a string, b string, w binary").collect()
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -407,6 +408,50 @@ def test_items_of_few_words_are_found_as_they_stand(spark):
         assert not any(r.reparameterised for r in got)
 
 
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(12)
+    names, nouns, units = ["Ann", "Bert", "Cleo", "Élan", "Otto"], ["apples", "pears", "books", "trains", "coins"], ["km", "hours", "kg", "dollars"]
+    verbs = ["has", "buys", "sells", "finds", "gives away", "counts"]
+    number = lambda: rng.choice([str(rng.randint(2, 99)), "twelve", "seven", "3.5"])
+
+    def question(fill):
+        parts = [lambda: f"{fill('n')} {fill('v')} {fill('#')} {fill('o')} in the {fill('a')} market", lambda: f"then {fill('n')} walks {fill('#')} {fill('u')} to the {fill('a')} shop with {fill('n')}", lambda: f"how many {fill('o')} are left after {fill('#')} days"]
+        return ". ".join(p() for p in parts) + "?"
+
+    def filler(kinds):
+        made, at = {}, Counter()
+
+        def fill(k):
+            at[k] += 1
+            return made.setdefault((k, at[k] % 3), kinds[k]())
+
+        return fill
+
+    kinds = {"n": lambda: rng.choice(names), "v": lambda: rng.choice(verbs), "#": number, "o": lambda: rng.choice(nouns), "u": lambda: rng.choice(units), "a": lambda: rng.choice(["old", "new", "small"])}
+    items, docs = [], []
+    for i in range(8):
+        text = question(filler(kinds))
+        items.append((i, text))
+        docs.append((100 + i, f"some plain words stand here. {text} and here too"))
+        swap = dict(zip(names, rng.sample(names, len(names))))
+        other = " ".join(swap.get(w, w) if w.isalpha() else w for w in text.split(" "))
+        docs.append((200 + i, " ".join(str(rng.randint(100, 999)) if w.isdigit() else w for w in other.split(" "))))
+        docs.append((300 + i, " ".join(rng.sample(text.split(" "), len(text.split(" "))))))
+    items += [(50, "12 + 7 - 3 = 16"), (51, "short one"), (52, ""), (53, None)]
+    docs += [(400, "so 12 + 7 - 3 = 16 it is"), (401, "a short one here"), (402, None), (403, "")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(docs, items)
+    got = {(r.doc_id, r.item_id): r.covered for r in decontaminate.leaks(frame(spark, docs), b).collect()}
+    assert got == want
+    assert {(100 + i, i) for i in range(8)} | {(400, 50), (401, 51)} <= got.keys() and len(got) > 14
+
+
+def test_spelled_numbers_are_numbers(spark):
+    b = spark.createDataFrame([(1, "On the farm Alice has twelve apples and seven pears and eats 3 of them")], "item_id long, text string")
+    docs = [(1, "On the farm Carla has 31 apples and nine pears and eats four of them"), (2, "one plain text about nothing much at all in here")]
+    assert [(r.doc_id, r.reparameterised) for r in decontaminate.leaks(frame(spark, docs), b).collect()] == [(1, True)]
+
+
 def test_templates_equal_a_plain_reading():
     import re
 
