@@ -9,13 +9,14 @@ again, for as long as that saves bins.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _text as tx
 from ._spark import ready_to_checkpoint
 
 CAPACITY = 2048
@@ -24,7 +25,7 @@ PARTITION_DOCS = 16_384
 #: Bins of a partition are numbered below this.
 MOST_BINS = 1 << 20
 
-_PACKED = "part long, doc_id long, piece int, n_tokens int, bin int, bins int, bound int"
+_PACKED = "part long, doc_id long, th long, piece int, n_tokens int, bin int, bins int, bound int"
 
 
 def best_fit_decreasing(size: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -81,12 +82,12 @@ def lower_bound(size: np.ndarray, capacity: int) -> int:
 
 def _pack(capacity: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("th", "ascending")])
         size = t["n_tokens"].to_numpy()
         b, bins = best_fit_decreasing(size, capacity)
         n = t.num_rows
         part = pa.array(np.full(n, key[0].as_py(), np.int64))
-        return pa.table([part, t["doc_id"], t["piece"], t["n_tokens"], pa.array(b), pa.array(np.full(n, bins, np.int32)), pa.array(np.full(n, lower_bound(size, capacity), np.int32))], names=["part", "doc_id", "piece", "n_tokens", "bin", "bins", "bound"])
+        return pa.table([part, t["doc_id"], t["th"], t["piece"], t["n_tokens"], pa.array(b), pa.array(np.full(n, bins, np.int32)), pa.array(np.full(n, lower_bound(size, capacity), np.int32))], names=["part", "doc_id", "th", "piece", "n_tokens", "bin", "bins", "bound"])
 
     return run
 
@@ -96,14 +97,46 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\t\\n\\r\\x0B\\f]+")), F.lit(0))
 
 
+def _hash() -> Column:
+    return F.xxhash64("text", F.col("doc_id").isNull()).alias("th")
+
+
+def _cut(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts in the pieces of pieces(); put together they are the whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in tx.words(b.column(2)):
+                n = -(-np.diff(w.first) // capacity)
+                row = np.repeat(np.arange(w.rows), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                begin = np.where(piece == 0, w.bounds[row], w.start[np.minimum(w.first[row] + piece * capacity, len(w) - 1)] if len(w) else 0)
+                end = np.where(np.append(row[1:], -1) == row, np.append(begin[1:], 0), w.bounds[row + 1])
+                raw = w.data.tobytes()
+                text = pa.array([raw[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())], pa.string())
+                where = pa.array(w.row0 + row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(piece.astype(np.int32)), text], names=["k", "th", "piece", "text"])
+
+    return run
+
+
+def with_texts(packed: DataFrame, docs: DataFrame, capacity: int) -> DataFrame:
+    """pack()'s rows, before their hash is dropped, with the text of each piece.
+    Equal rows are cut once; pieces meet their bins by equality."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k")
+    texts = docs.select(key, F.xxhash64("text", F.col("doc_id").isNull()).alias("th"), "text").mapInArrow(_cut(capacity), "k long, th long, piece int, text string").dropDuplicates(["k", "th", "piece"])
+    return packed.withColumn("k", key).join(texts, ["k", "th", "piece"]).drop("k")
+
+
 def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """doc_id, piece and n_tokens: documents longer than a bin in pieces of a full bin and the rest."""
-    n = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("text")).alias("n")).where("n > 0")
+    """doc_id, a hash that tells texts of one doc_id apart, piece and n_tokens:
+    documents longer than a bin in pieces of a full bin and the rest."""
+    n = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash(), token_count(F.col("text")).alias("n")).where("n > 0")
     cut = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece")
-    return n.select("doc_id", "n", cut).select("doc_id", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
+    return n.select("doc_id", "th", "n", cut).select("doc_id", "th", "piece", F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("n_tokens"))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTITION_DOCS, rounds: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTITION_DOCS, rounds: int | None = None, texts: bool = False) -> DataFrame:
     """Bins for all documents: (doc_id, piece, start_word, n_tokens, bin_id, bins, bound).
 
     A document's length is its number of words.  One longer than `capacity` is
@@ -115,6 +148,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTIT
     pack again for as long as that saves bins, or `rounds` times if that is
     given; a new packing stands if it has fewer bins in all than the old.
 
+    With `texts` rows have the piece's text besides, white space after it
+    included, so that a document's pieces in order are its text.
+
     Null, empty and blank texts take no room and have no row.  Null doc_ids are
     packed like others and stay null; repeated rows are packed one by one; ties
     of length are packed in the order of doc_id and piece.  Other columns are
@@ -129,7 +165,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTIT
 
     def packed(rows: DataFrame, n: int, salt: int, base: int) -> DataFrame:
         key = F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(n)) + F.lit(base)
-        return rows.select("doc_id", "piece", "n_tokens", key.cast("long").alias("part")).groupBy("part").applyInArrow(_pack(capacity), _PACKED).checkpoint()
+        return rows.select("doc_id", "th", "piece", "n_tokens", key.cast("long").alias("part")).groupBy("part").applyInArrow(_pack(capacity), _PACKED).checkpoint()
 
     now, used, r = packed(lengths, parts, 0, 0), parts, 0
     while rounds is None or r < rounds:
@@ -145,4 +181,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, partition_docs: int = PARTIT
             break
         now = now.where("bins <= bound").unionByName(new)
     start = (F.col("piece").cast("long") * capacity).alias("start_word")
-    return now.select("doc_id", "piece", start, "n_tokens", (F.col("part") * MOST_BINS + F.col("bin")).alias("bin_id"), "bins", "bound")
+    out = [F.col("doc_id"), F.col("piece"), start, F.col("n_tokens"), (F.col("part") * MOST_BINS + F.col("bin")).alias("bin_id"), F.col("bins"), F.col("bound")]
+    return with_texts(now, docs, capacity).select(*out, "text") if texts else now.select(*out)

@@ -50,6 +50,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     want = expected(rows, items)
     assert not {73, 74, 75, 80, 81, 90, 91, 92} & {d for d, _ in want} and len(want) > 60
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    text = {}
+    for r in sorted(got, key=lambda r: r.piece):
+        text[r.doc_id] = text.get(r.doc_id, "") + r.text
+    assert {d: brute.words(t) for d, t in text.items()} == {d: w for d, w in want if w}
     size = {}
     for r in got:
         size[r.doc_id] = size.get(r.doc_id, 0) + r.n_tokens

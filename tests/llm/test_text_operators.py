@@ -489,6 +489,33 @@ def test_packing_bins_and_bounds(spark, capacity):
         assert r.bound == packing.lower_bound(size, capacity) >= -(-int(size.sum()) // capacity)
 
 
+@pytest.mark.parametrize("capacity", [1, 7, 2048])
+def test_packed_texts_are_the_documents(spark, capacity):
+    rows = rows_of(14) + [(None, "same id, other text"), (7, "  lead\t and\ntail \n"), (7, "  lead\t and\ntail \n")]
+    df = frame(spark, rows, True)
+    got = packing.pack(df, capacity, partition_docs=20, texts=True).collect()
+    assert sorted((repr(r.doc_id), r.piece, r.n_tokens, r.bin_id) for r in got) == sorted((repr(r.doc_id), r.piece, r.n_tokens, r.bin_id) for r in packing.pack(df, capacity, partition_docs=20).collect())
+    assert all(len(brute.words(r.text)) == r.n_tokens for r in got)
+    want = Counter()
+    for d, t in rows:
+        w = brute.words(t)
+        at = 0
+        for p in range(-(-len(w) // capacity)):
+            end = len(t)
+            if (p + 1) * capacity < len(w):
+                end, k = at, 0
+                import re
+
+                for m in re.finditer("[^ \t\n\r\x0b\x0c]+", t[at:]):
+                    if k == capacity:
+                        end = at + m.start()
+                        break
+                    k += 1
+            want[d, p, t[at:end]] += 1
+            at = end
+    assert Counter((r.doc_id, r.piece, r.text) for r in got) == want
+
+
 def test_packing_edges(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
     assert packing.pack(frame(spark, [(1, None), (2, "")])).count() == 0
