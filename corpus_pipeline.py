@@ -2,7 +2,8 @@
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame.  run()
 writes each stage's result as Parquet into the shared folder and reads it back
-as the next one's docs, which also cuts the lineage.
+as the next one's docs, which also cuts the lineage.  What the next stage has
+read to its end is deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspan.llm import decontaminate, minhash, packing, quality_rules, substring
-from lexspan.llm._spark import scratch, table
+from lexspan.llm._spark import drop_scratch, scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -44,8 +45,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents that are left, packed: see packing.pack()."""
-    return packing.pack(docs)
+    """All documents that are left, packed, with their texts: see packing.pack()."""
+    return packing.pack(docs, texts=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -63,9 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage over sf_dir's documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_scratch(spark, last)
+        last = path
     return docs
