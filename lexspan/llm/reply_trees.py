@@ -3,8 +3,8 @@
 Messages name their parent.  Iterative self-joins double, round by round, how
 far each message sees up its branch, and let every leaf collect the messages
 above it, so a thread of depth d takes log2(d) rounds, not d.  Only ids and
-scores travel.  The paths from root to leaf are ranked in each conversation, and the texts are
-fetched once, for the chosen paths.
+scores travel.  The paths from root to leaf are ranked in each conversation, and
+texts meet the places that they take in the chosen paths once, by conversation.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ def with_parents(messages: DataFrame) -> DataFrame:
     """Parents for a table of turns (conv_id, turn, role, text): a message
     answers the turn before it.  Where several messages share a turn they are
     alternatives, and the next turn answers the longest (of equally long ones
-    the one of the least role and text).  Repeated rows are one message.
+    the one of the least role and text).  Repeated rows are one message; rows of
+    a null conv_id or turn are left out, as nothing can answer them; a null text is a message of
+    score 0; texts are kept whole; an empty table gives an empty result.
     Result: conv_id, msg_id, parent_id, role, text, score (the text's characters).
     Everything happens within conversations, so the texts move once."""
     base = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("score")).where("conv_id IS NOT NULL AND turn IS NOT NULL").repartition("conv_id").distinct()
@@ -42,7 +44,7 @@ def conversations(messages: DataFrame, top: int | None = TOP) -> DataFrame:
     """Root-to-leaf paths of reply trees, ranked and formatted.
 
     messages has conv_id, msg_id, parent_id, role, text and score (a number);
-    other columns are ignored.  Result: conv_id, leaf_id, branch_rank, n_turns,
+    other columns are ignored, whatever their names.  Result: conv_id, leaf_id, branch_rank, n_turns,
     path_score (the sum of the scores), formatted.  In each conv_id paths are
     ranked by score, greater first, then by leaf_id; the best `top` of them are
     formatted (all by default), message by message, as <|im_start|>role, line
@@ -85,6 +87,12 @@ def conversations(messages: DataFrame, top: int | None = TOP) -> DataFrame:
     if top is not None:
         paths = paths.where(F.col("branch_rank") <= top)
     turn = turn.select("conv_id", "leaf_id", "msg_id", (F.col("depth") - F.col("up_by")).alias("pos")).join(paths, ["conv_id", "leaf_id"])
-    said = turn.join(rows.select("conv_id", "msg_id", _chatml(F.col("role"), F.col("text")).alias("said")), ["conv_id", "msg_id"])
+    # texts and the places that they take come together by conversation, once
+    place = F.struct("leaf_id", "branch_rank", "path_score", "pos")
+    texts = rows.select("conv_id", "msg_id", _chatml(F.col("role"), F.col("text")).alias("said"), F.lit(None).alias("place"))
+    places = turn.select("conv_id", "msg_id", F.lit(None).cast("string").alias("said"), place.alias("place"))
+    texts = texts.withColumn("place", F.col("place").cast(places.schema["place"].dataType))
+    met = texts.unionByName(places).repartition("conv_id").groupBy("conv_id", "msg_id").agg(F.first("said", ignorenulls=True).alias("said"), F.collect_list("place").alias("places"))
+    said = met.select("conv_id", "said", F.inline("places"))
     whole = said.groupBy("conv_id", "leaf_id", "branch_rank", "path_score").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("m"))
     return whole.select("conv_id", "leaf_id", "branch_rank", F.size("m").cast("long").alias("n_turns"), "path_score", F.concat_ws("", F.transform("m", lambda m: m["said"])).alias("formatted"))
