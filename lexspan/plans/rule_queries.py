@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as tx
-from lexspan.operators import analysis, cache, chunking, definitions, diff, jobs, logs, model, ranking, references, registry, scopes, status, tree, units
+from lexspan.operators import analysis, cache, chunking, definitions, diff, jobs, logs, model, outline, ranking, references, registry, scopes, status, tree, units
 from lexspan.plans._tables import GEOGRAPHY_SQL, geography, table
+from lexspan.sources.markup import last_json
 
 _NOW = "TIMESTAMP '2026-01-01 00:00:00'"
 
@@ -471,6 +472,40 @@ def analysis_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.analyse(n, "why?", model.Stub(), _none(spark), waves=2)[1].select("id", "wave", "unit_id", "content")
 
 
+def final_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer from the regions as facts, and whether it stood the check."""
+    f = table(spark, sf_dir, "region").select(F.format_string("f%03d", F.col("r_regionkey")).alias("id"), F.col("r_regionkey").cast("long").alias("ord"), F.lit(0).alias("wave"), F.lit("u").alias("unit_id"), F.col("r_name").alias("content"))
+    return model.final_answer(f, "why?", model.Stub(), _none(spark))
+
+
+def message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of conversations with tools, and of none with a system text."""
+    c = table(spark, sf_dir, "customer")
+    key = model.messages_key(F.array(F.col("c_name"), F.lit("hi")), F.array(F.lit("look")), F.when(F.col("c_custkey") % 2 == 0, "sys"))
+    return c.select("c_custkey", key.alias("key"))
+
+
+def last_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last JSON that texts made of events hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([last_json(t) for t in b.column(1).to_pylist()], pa.string())], names=["event_id", "said"])
+
+    k = F.col("event_id")
+    text = F.concat(F.lit('first {"a": 1} then '), F.when(k % 3 == 0, F.concat(F.lit('[{"b": '), k.cast("string"), F.lit("}] done"))).when(k % 3 == 1, F.lit('{"torn": ')).otherwise(F.lit("nothing")))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("text")).mapInArrow(run, "event_id long, said string")
+
+
+def shown_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File sizes, file name suffixes, cleaned titles and prompts for chunks."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    levels = F.create_map(F.lit("title"), k.cast("string"), F.lit("part"), F.when(k % 2 == 0, "7").otherwise(""))
+    prompt = model.chunk_prompt(F.lit("base"), F.col("p_name"), (k % 3 + 1), k % 3 + 1, F.when(k % 2 == 0, "old").otherwise(""))
+    return p.select("p_partkey", tx.file_size(k % 1000 * 1024).alias("size"), outline.unit_suffix(levels).alias("suffix"), outline.clean_title(F.concat(F.lit(" —"), "p_name", F.lit(".: "))).alias("title"), prompt.alias("prompt"), model.gated(F.when(k % 3 == 0, "merge").when(k % 3 == 1, "odd"), "request").alias("gate"))
+
+
 _WAVES_SQL = f"""n AS (SELECT n_nationkey::VARCHAR AS u, n_name AS s, {_byte(_hex("'relevance: why?'", "n_name"), 0)} % 4 AS score FROM nation),
 w0 AS (SELECT u, s, {_hex("'why?'", "s")} AS h FROM n WHERE score = 3),
 f0 AS (SELECT min(u) AS u, substr(h, 1, 12) AS c FROM w0 WHERE {_byte("h", 1)} % 2 = 0 GROUP BY 2), i0 AS (SELECT row_number() OVER (ORDER BY u) AS i, u, c FROM f0),
@@ -489,6 +524,7 @@ QUERIES = {
         registry_stats, registry_by_parser, split_links, external_references, retried_references, cross_document_units, jobs_enqueued, jobs_settled, progress_rows, salvaged_cache, cache_from_log, cache_report, call_kinds, entries_applied,
         scratch_entries, compaction_changes, final_blocks, fact_pools, unit_contexts, status_updates, run_report, document_report, documents_listed, customers_found, questions_shown, unit_page, manifest_upsert, types_in_use,
         levels_to_filter, quoted_lists, sources_changed, relevance_scores, first_summaries, second_summaries, table_summaries, defined_terms, definitions_judged, pairs_judged, references_picked, values_from_targets, analysis_waves, analysis_facts,
+        final_answers, message_keys, last_answers, shown_forms,
     )
 }
 
@@ -563,6 +599,11 @@ SELECT u::VARCHAR AS unit_path, term, k AS chunk_no, substr({_hex("t", "'define:
     "references_picked": f"""WITH l AS (SELECT n_regionkey AS ref_id, n_nationkey AS doc_id, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS n FROM nation), p AS (SELECT ref_id, string_agg(n || ': ' || n_name, chr(10) ORDER BY n) AS prompt FROM l GROUP BY 1), c AS (SELECT r_regionkey AS ref_id, {_byte(_hex("r_name", "prompt"), 2)} % 8 AS n FROM region JOIN p ON ref_id = r_regionkey)
 SELECT c.ref_id, doc_id, CASE WHEN doc_id IS NULL THEN 'ambiguous' ELSE 'resolved' END AS status FROM c LEFT JOIN l ON l.ref_id = c.ref_id AND l.n = c.n""",
     "values_from_targets": f"""SELECT n_nationkey AS ref_id, substr({_hex("r_name", "'define: ' || n_name")}, 1, 12) AS value FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 1""",
+    "final_answers": f"""WITH c AS (SELECT 'why?' || chr(10) || string_agg('[' || format('f{{:03d}}', r_regionkey) || '] ' || r_name, chr(10) ORDER BY r_regionkey) AS c FROM region), a AS (SELECT c, substr({_hex("c", "'answer'")}, 1, 12) AS answer FROM c) SELECT answer, {_byte(_hex("c", "'check: ' || answer"), 1)} % 2 = 0 AS accepted FROM a""",
+    "message_keys": """SELECT c_custkey, sha256('{"messages":["' || c_name || '","hi"],"tools":["look"],"system":"' || CASE WHEN c_custkey % 2 = 0 THEN 'sys' ELSE '' END || '"}') AS key FROM customer""",
+    "last_answers": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[{"b":' || event_id || '}]' ELSE '{"a":1}' END AS said FROM events""",
+    "shown_forms": """SELECT p_partkey, CASE WHEN p_partkey % 1000 = 0 THEN '0 B' ELSE p_partkey % 1000 || '.0 KB' END AS size, '_title' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '_part7' ELSE '' END AS suffix, p_name AS title,
+CASE p_partkey % 3 WHEN 0 THEN 'base' || chr(10) || chr(10) || p_name ELSE 'base' || chr(10) || chr(10) || 'Part ' || (p_partkey % 3 + 1) || ' of ' || (p_partkey % 3 + 1) || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Earlier parts: old' ELSE '' END || chr(10) || chr(10) || p_name END AS prompt, CASE WHEN p_partkey % 3 = 0 THEN 'merge' ELSE 'reject' END AS gate FROM part""",
     "analysis_waves": f"WITH {_WAVES_SQL} SELECT 0 AS wave, u AS unit_id FROM w0 UNION ALL SELECT 1, u FROM w1",
     "analysis_facts": f"WITH {_WAVES_SQL} SELECT format('f{{:03d}}', i) AS id, 0 AS wave, u AS unit_id, c AS content FROM i0 UNION ALL SELECT format('f{{:03d}}', (SELECT count(*) FROM i0) + row_number() OVER (ORDER BY u)), 1, u, c FROM f1",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import citations, text
 from lexspan.operators import analysis, jobs, model, ranking, status, tree
-from lexspan.plans import markup_queries, rule_queries
+from lexspan.plans import markup_queries, rule_queries, stream_queries
 from lexspan.sources import markup
 
 DATA = Path("/root/testdata/sf0.001")
@@ -181,7 +181,7 @@ def one(x):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables aren't here")
-@pytest.mark.parametrize("module", [markup_queries, rule_queries])
+@pytest.mark.parametrize("module", [markup_queries, rule_queries, stream_queries])
 def test_queries_equal_their_sql(spark, module):
     import duckdb
 
