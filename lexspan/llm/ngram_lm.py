@@ -348,26 +348,27 @@ def _map(folder: str, name: str) -> list[np.ndarray]:
 def _coded(values: list[np.ndarray]) -> list[np.ndarray]:
     """Rows of counts as one byte each, or half a one if there is one count a row:
     its number among the most frequent ones, or a last number and a place in a list."""
-    n = len(values[0])
-    none = 15 if len(values) == 1 else 255
-    bits = 64 // len(values)
+    n, k = len(values[0]), len(values)
+    none = 15 if k == 1 else 255
+    bits = 12 if k == 1 else 5  # of a count that may have a number
     small = np.ones(n, bool)
-    packed = np.zeros(n, U64)
+    packed = np.zeros(n, np.int64)
     for v in values:
-        small &= v < 1 << min(bits, 62)
-        packed = (packed << U64(bits) if bits < 64 else packed) | v.astype(U64)
-    kinds, first, inverse, times = np.unique(packed[small], return_index=True, return_inverse=True, return_counts=True)
+        small &= v < 1 << bits
+        packed = packed << bits | v
+    times = np.bincount(packed[small], minlength=1 << (bits * k))
     best = np.argsort(-times, kind="stable")[:none]
-    code = np.full(len(kinds), none, np.uint8)
+    best = best[times[best] > 0]
+    code = np.full(len(times), none, np.uint8)
     code[best] = np.arange(len(best))
     out = np.full(n, none, np.uint8)
-    out[small] = code[inverse]
-    rows = np.flatnonzero(small)[first[best]]
+    out[small] = code[packed[small]]
     rest = np.flatnonzero(out == none)
     if none == 15:
         pair = np.append(out, np.zeros(n % 2, np.uint8))
         out = pair[::2] | (pair[1::2] << 4)
-    return [out, rest.astype(np.uint32 if n < 1 << 32 else np.uint64), *(v[rows].astype(np.int64) for v in values), *(v[rest].astype(np.int64) for v in values)]
+    common = [best >> (bits * (k - 1 - c)) & ((1 << bits) - 1) for c in range(k)]
+    return [out, rest.astype(np.uint32 if n < 1 << 32 else np.uint64), *common, *(v[rest].astype(np.int64) for v in values)]
 
 
 class _Values:
