@@ -91,17 +91,17 @@ def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.Re
             some = np.zeros(n, bool)
             for w in tx.words(b.column(1)):
                 h, first = shingles(w, shingle)
-                for r in range(w.rows):
-                    if first[r] == first[r + 1]:
-                        continue
-                    i = w.row0 + r
-                    some[i] = True
-                    fp[:, i] = _fingerprint(w, r)
-                    sig = signature(h[first[r] : first[r + 1]], permutations, k).reshape(bands, rows).astype(U64)
-                    key = np.arange(bands, dtype=U64)
-                    for c in range(rows):
-                        key = tx.mix(key ^ sig[:, c], 40)
-                    band[i] = key.view(np.int64)
+                rows_here = np.flatnonzero(np.diff(first))
+                if not len(rows_here):
+                    continue
+                sig = np.array([signature(h[first[r] : first[r + 1]], permutations, k) for r in rows_here.tolist()]).reshape(-1, bands, rows).astype(U64)
+                key = np.broadcast_to(np.arange(bands, dtype=U64), (len(rows_here), bands))
+                for c in range(rows):
+                    key = tx.mix(key ^ sig[:, :, c], 40)
+                i = w.row0 + rows_here
+                some[i] = True
+                band[i] = key.view(np.int64)
+                fp[:, i] = _fingerprints(w)[:, rows_here]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(band.ravel()))
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), flat], names=["doc_id", "th", "f1", "f2", "bands"])
             yield out.filter(pa.array(some))
@@ -109,13 +109,15 @@ def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.Re
     return run
 
 
-def _fingerprint(w: tx.Words, r: int) -> tuple[int, int]:
-    """128 bits of the words of row r in their order."""
-    h = w.hash[w.first[r] : w.first[r + 1]]
-    order = np.arange(len(h), dtype=U64)
-    a = tx.mix(tx.mix(h, 31) ^ (order * U64(0x9E3779B97F4A7C15)), 1).sum(dtype=U64)
-    b = tx.mix(tx.mix(h, 37) + order * U64(0xD1342543DE82EF95), 2).sum(dtype=U64)
-    return a, b
+def _fingerprints(w: tx.Words) -> np.ndarray:
+    """128 bits of the words of each row in their order; zeros for rows without words."""
+    out = np.zeros((2, w.rows), U64)
+    some = np.flatnonzero(np.diff(w.first))
+    if len(some):
+        order = (np.arange(len(w)) - w.first[w.row_of_word()]).astype(U64)
+        out[0, some] = np.add.reduceat(tx.mix(tx.mix(w.hash, 31) ^ (order * U64(0x9E3779B97F4A7C15)), 1), w.first[some])
+        out[1, some] = np.add.reduceat(tx.mix(tx.mix(w.hash, 37) + order * U64(0xD1342543DE82EF95), 2), w.first[some])
+    return out
 
 
 def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +127,8 @@ def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(b.num_rows, bool)
         want = np.array([f1.to_numpy(), f2.to_numpy()]).view(U64)
         for w in tx.words(text):
-            for r in np.flatnonzero(np.diff(w.first)).tolist():
-                own[w.row0 + r] = tuple(map(int, _fingerprint(w, r))) == tuple(map(int, want[:, w.row0 + r]))
+            here = slice(w.row0, w.row0 + w.rows)
+            own[here] = (np.diff(w.first) > 0) & (_fingerprints(w) == want[:, here]).all(axis=0)
         yield pa.RecordBatch.from_arrays([f1, text], names=["node", "text"]).filter(pa.array(own))
 
 
