@@ -6,6 +6,7 @@ Python loop runs per word.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,6 +28,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not every C library has it
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives memory that isn't used any more back to the system: workers are
+    kept for later tasks and would hold it for as long."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Bijective 64-bit finaliser (splitmix64); salt selects another one."""
     x = x + U64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

@@ -105,6 +105,7 @@ def _signatures(shingle: int, bands: int, rows: int) -> Callable[[Iterator[pa.Re
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), pa.array(band.ravel()))
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), flat], names=["doc_id", "th", "f1", "f2", "bands"])
             yield out.filter(pa.array(some))
+        tx.release()
 
     return run
 
@@ -158,6 +159,7 @@ def _near(shingle: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]]
                     if same / (few + many - same) >= threshold:
                         found.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(node[found])], names=["a", "b"])
+        tx.release()
 
     return run
 

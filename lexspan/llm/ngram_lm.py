@@ -294,6 +294,7 @@ def _count(order: int, shards: int, bits: int) -> Callable[[Iterator[pa.RecordBa
                     yield from flush()
                     size = 0
         yield from flush()
+        tx.release()
 
     return run
 
@@ -488,6 +489,8 @@ def _merge(order: int, shards: int, bits: int, folder: str) -> Callable[[tuple,
                 rows += _sent_sums(1, shards, bits, one, sums)
             keys, c = _by_key(h, c)
             _write(folder, f"ends-{shard}", [*_keyed(keys, *here), *_coded([c])])
+        del columns, words, count, grams, keys, c
+        tx.release()
         return _rows(rows)
 
     return run
@@ -695,6 +698,7 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             some = words > 0
             mean = np.divide(logs, words + 1, out=np.zeros(len(logs)), where=some)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(np.round(logs, 4), mask=~some), pa.array(np.round(np.exp(-mean), 4), mask=~some)], names=["doc_id", "n_words", "log_prob", "perplexity"])
+        tx.release()
 
     return run
 

@@ -116,6 +116,7 @@ def _cut(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 text = pa.array([raw[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())], pa.string())
                 where = pa.array(w.row0 + row)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(piece.astype(np.int32)), text], names=["k", "th", "piece", "text"])
+        tx.release()
 
     return run
 

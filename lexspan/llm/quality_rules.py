@@ -123,6 +123,7 @@ def _filter(shares: dict[int, float], line_share: float) -> Callable[[Iterator[p
             text = b.column(b.schema.get_field_index("text"))
             said = next(judge(iter([pa.RecordBatch.from_arrays([blank, text], names=["doc_id", "text"])])))
             yield b.filter(said.column(said.num_columns - 1))
+        tx.release()
 
     return run
 

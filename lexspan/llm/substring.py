@@ -187,6 +187,8 @@ def _candidates(n: int, depth: int, bits: int, shards: int) -> Callable[[tuple,
         shard = _exact_shard(h1, shards)
         cut = np.r_[_runs(shard), len(shard)]
         rows = [(key[0].as_py(), depth, int(shard[a]), tx.put_sorted(h1[a:b]), h2[a:b].tobytes(), tx.planes(doc[a:b]), counts[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        del h1, h2, doc, order, got
+        tx.release()
         return _table(rows, ("_chunk", "kind", "shard", "h1", "h2", "first", "counts"), (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4))
 
     return run
@@ -288,6 +290,7 @@ def _cleaned(n: int, depth: int, bits: int, columns: list[str]) -> Callable[[tup
             if "n_chars" in t.column_names:
                 new = [len(x) if r in touched else c for r, (x, c) in enumerate(zip(texts, t["n_chars"].to_pylist()))]
                 t = t.set_column(t.schema.get_field_index("n_chars"), "n_chars", pa.array(new, t.schema.field("n_chars").type))
+        tx.release()
         return t.select(columns)
 
     return run
