@@ -84,17 +84,25 @@ def longest_prefix(cited: DataFrame, designators: DataFrame, covers: Callable[[C
     return cited.join(best, [*within, "cited"], "left")
 
 
+def _range_ends(units: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units with their position in the document, and wanted ranges with the
+    positions a and b of their ends and the document's last one; of an id that repeats, the first place."""
+    placed = units.select("doc_id", "type_key", "unit_id", "ord").withColumn("_pos", F.row_number().over(Window.partitionBy("doc_id", "type_key").orderBy("ord")))
+    last = units.groupBy("doc_id", "type_key").agg(F.count("*").cast("int").alias("last"))
+    at = placed.groupBy("doc_id", "type_key", "unit_id").agg(F.min("_pos").alias("at"))
+    ends = wanted.join(at.select("doc_id", "type_key", F.col("unit_id").alias("first_id"), F.col("at").alias("a")), ["doc_id", "type_key", "first_id"])
+    ends = ends.join(at.select("doc_id", "type_key", F.col("unit_id").alias("last_id"), F.col("at").alias("b")), ["doc_id", "type_key", "last_id"])
+    return placed, ends.join(last, ["doc_id", "type_key"])
+
+
 def ranges(units: DataFrame, wanted: DataFrame, parity: bool = False) -> DataFrame:
     """Units between the first and last id of each wanted(range_id, doc_id,
     type_key, first_id, last_id), by position and inclusive; nothing if an end is missing.
 
     parity: an end that comes again or before the other leaves the range open,
-    so equal or reversed ends run to the document's end."""
-    here = Window.partitionBy("doc_id", "type_key")
-    placed = units.select("doc_id", "type_key", "unit_id", "ord").withColumns({"_pos": F.row_number().over(here.orderBy("ord")), "_n": F.count("*").over(here)})
-    at = placed.groupBy("doc_id", "type_key", "unit_id").agg(F.min("_pos").alias("at"), F.max("_n").alias("_n"))
-    ends = wanted.join(at.select("doc_id", "type_key", F.col("unit_id").alias("first_id"), F.col("at").alias("a"), F.col("_n").cast("int").alias("last")), ["doc_id", "type_key", "first_id"])
-    ends = ends.join(at.select("doc_id", "type_key", F.col("unit_id").alias("last_id"), F.col("at").alias("b")), ["doc_id", "type_key", "last_id"])
+    so equal or reversed ends run to the document's end.  Many of these make
+    far more rows than there are units; range_sizes() counts them without."""
+    placed, ends = _range_ends(units, wanted)
     inside = F.sequence(F.least("a", "b"), F.greatest("a", "b"))
     if parity:
         inside = F.when(F.col("a") < F.col("b"), inside).otherwise(F.array_union(F.array("b"), F.sequence("a", "last")))
@@ -103,6 +111,16 @@ def ranges(units: DataFrame, wanted: DataFrame, parity: bool = False) -> DataFra
     return met.select("range_id", "doc_id", "type_key", "unit_id", "ord")
 
 
+def range_sizes(units: DataFrame, wanted: DataFrame, parity: bool = False) -> DataFrame:
+    """How many units ranges() finds for each range_id: range_id, n_units.
+    Told from the ends' positions, without a row for each unit inside."""
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    size = F.abs(a - b) + 1
+    if parity:
+        size = F.when(a < b, size).otherwise(F.col("last") - a + 1 + (b < a).cast("long"))
+    return _range_ends(units, wanted)[1].groupBy("range_id").agg(F.sum(size).alias("n_units"))
+
+
 def begin_stop(units: DataFrame, by: list[str]) -> DataFrame:
     """First and last unit, in document order, of each group."""
     return units.groupBy(*by).agg(F.min_by("unit_id", "ord").alias("begin_id"), F.max_by("unit_id", "ord").alias("stop_id"))
