@@ -37,11 +37,13 @@ def compound(wanted: DataFrame, orgs: DataFrame) -> DataFrame:
 
 
 def definitions_at(wanted: DataFrame, definitions: DataFrame) -> DataFrame:
-    """The first definition of a term at a place: wanted(ref_id, doc_id, location_path, term)."""
+    """The first definition of a term at a place: wanted(ref_id, doc_id, location_path, term).
+    It is found once a place and term, before what is wanted meets it."""
     key = normalize_term(F.col("term"))
-    there = definitions.select("doc_id", "location_path", key.alias("k"), "def_id", "value")
+    first = F.min_by(F.struct("def_id", "value"), "def_id").alias("d")
+    there = definitions.select("doc_id", "location_path", key.alias("k"), "def_id", "value").groupBy("doc_id", "location_path", "k").agg(first)
     met = wanted.withColumn("k", key).join(there, ["doc_id", "location_path", "k"])
-    return met.groupBy("ref_id").agg(F.min_by(F.struct("def_id", "value"), "def_id").alias("d")).select("ref_id", "d.*")
+    return met.groupBy("ref_id").agg(F.min_by("d", F.col("d")["def_id"]).alias("d")).select("ref_id", "d.*")
 
 
 def indirect(definitions: DataFrame) -> DataFrame:

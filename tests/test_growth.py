@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lexspan.operators import tree
+from lexspan.operators import scopes, tree
 
 
 def plan(df) -> str:
@@ -21,3 +21,13 @@ def test_range_sizes_count_what_ranges_finds(spark):
 
 def test_open_ranges_are_counted_without_a_row_for_each_unit(spark):
     assert "Generate" not in plan(__spark_entry__.queries()["range_expand_parity"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_place_with_many_definitions_meets_what_is_wanted_once(spark):
+    n = 20_000  # 400 million pairs
+    d = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit("p").alias("location_path"), F.lit("The Term").alias("term"), F.col("id").alias("def_id"), F.concat(F.lit("v"), "id").alias("value"))
+    w = spark.range(n).select(F.col("id").alias("ref_id"), F.lit("d").alias("doc_id"), F.lit("p").alias("location_path"), F.lit("term").alias("term"))
+    met = scopes.definitions_at(w, d)
+    assert met.agg(F.count("*"), F.min("value"), F.max("value")).first() == (n, "v0", "v0")
+    p = met._jdf.queryExecution().optimizedPlan().toString()
+    assert p.index("Join") < p.rindex("Aggregate")  # the definitions are grouped below the join
