@@ -49,7 +49,7 @@ def near_duplicate_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against its conversation's first: whether it repeats it, case and a final question mark aside."""
     c = table(spark, sf_dir, "conversations")
     first = c.where("turn = 0").groupBy("conv_id").agg(F.min("text").alias("primary"))
-    extra = F.when(F.col("turn") % 2 == 1, F.concat(F.upper("primary"), F.lit("? "))).otherwise(F.col("text"))
+    extra = F.when(F.col("turn") % 2 == 1, F.concat(tx.upper(F.col("primary")), F.lit("? "))).otherwise(F.col("text"))
     rows = c.join(first, "conv_id").withColumn("asked", extra)
     return rows.select("conv_id", "turn", tx.same_question(F.col("asked"), F.col("primary")).alias("same"))
 

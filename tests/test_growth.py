@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from lexspan.functions import text
 from lexspan.operators import scopes, tree
 
 
@@ -47,3 +48,14 @@ def test_citations_of_keys_with_many_digits_equal_their_sql(spark, tmp_path, que
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[query]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_capitals_come_back_in_lower_case(spark, tmp_path):
+    words = ["ein Maß, ßß", "ß", "ŉ ﬁn", "", None, "abc", "a\nß b"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = [tuple(r) for r in rows.select(text.upper(F.col("w")), F.lower(text.upper(F.col("w")))).collect()]
+    assert got == [(w and "".join(c.upper() if len(c.upper()) == 1 else c for c in w), w and w.lower()) for w in words]
+    turns = [(1, 0, "Große Maße, ßß?"), (1, 1, "x"), (1, 2, "other")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    same = __spark_entry__.queries()["near_duplicate_primary"](spark, str(tmp_path))
+    assert {r.turn: r.same for r in same.collect()} == {0: True, 1: True, 2: False}
