@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexspan.functions import text
-from lexspan.operators import scopes, tree
+from lexspan.operators import definitions, scopes, tree
 
 
 def plan(df) -> str:
@@ -59,3 +59,17 @@ def test_capitals_come_back_in_lower_case(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     same = __spark_entry__.queries()["near_duplicate_primary"](spark, str(tmp_path))
     assert {r.turn: r.same for r in same.collect()} == {0: True, 1: True, 2: False}
+
+
+def test_conflicting_pairs_are_told_by_classes(spark):
+    rows = [(0, "p", "The Term", "a", None), (1, "p", "term", " a ", "direct"), (2, "p", "term", "b", None), (3, "p", "term", None, None), (4, "p", "term", "c", "elaboration"), (5, "q", "term", "a", None), (6, "p", "the", "x", None)]
+    rows += [(10 + i, "r", "t", f"v{i % 3}", None) for i in range(12)]
+    d = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, def_id long, location_path string, term string, value string, def_kind string")
+    got = definitions.conflict_classes(d)
+    c = {r.def_id: r for r in got.collect()}
+    assert {k: (r.class_id, r.n_links) for k, r in c.items() if k < 10} == {0: (0, 1), 1: (0, 1), 2: (2, 2), 3: (None, 0), 5: (5, 0), 6: (6, 0)}
+    where = {r[0]: (r[1], r[2].lower().removeprefix("the ")) for r in rows}
+    value = {r[0]: r[3] and r[3].strip() for r in rows}
+    want = {(a, b) for a in c for b in c if a < b and where[a] == where[b] and value[a] is not None and value[b] is not None and value[a] != value[b]}
+    told = {(a, b) for a in c for b in c if a < b and c[a][:3] == c[b][:3] and None not in (c[a].class_id, c[b].class_id) and c[a].class_id != c[b].class_id}
+    assert told == want and sum(r.n_links for r in c.values()) == 2 * len(want)
