@@ -10,8 +10,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 LIMIT = 15_000
 _CHUNKS = "key string, seq int, start int, end int, chunk string"
@@ -113,6 +115,18 @@ def strict_spans(text: str, breakpoints: list[tuple[int, int]], limit: int = LIM
     return out + ([(a, len(text))] if a < len(text) else [])
 
 
+def _runs(b: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts, in column `text`, have about `most` bytes, and of 512 rows at most."""
+    begin = size = 0
+    for i, n in enumerate(pc.binary_length(b.column(text)).to_pylist()):
+        if i > begin and (size + (n or 0) > most or i - begin == 512):
+            yield b.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n or 0
+    if begin < b.num_rows:
+        yield b.slice(begin)
+
+
 def chunks(units: DataFrame, key: Column, text: Column, breakpoints: Column, limit: int = LIMIT, strict: bool = True) -> DataFrame:
     """Chunks of all units: key, seq, start, end, chunk.  strict: lossless and
     never over the limit, with offsets; else the looser rule of chunk(), whose
@@ -176,3 +190,30 @@ def gaps(marks: DataFrame, by: list[str], text: Column, opening: str = "_preambl
     body = marks.withColumn("stop", F.coalesce(nxt, F.length(text))).withColumn("name", F.when(n == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), n.cast("string"))))
     head = marks.groupBy(*by).agg(F.min("pos").alias("stop"), F.any_value(text).alias("_t")).where("stop > 0").select(*by, F.lit(0).alias("pos"), F.lit(opening).alias("name"), F.substr("_t", F.lit(1), F.col("stop")).alias("slice"))
     return body.select(*by, "pos", "name", F.substr(text, F.col("pos") + 1, F.col("stop") - F.col("pos")).alias("slice")).unionByName(head)
+
+
+def sections(docs: DataFrame, by: list[str], text: Column, needle: str, opening: str = "_preamble") -> DataFrame:
+    """gaps() between the places where a string stands: by, pos, name, slice.
+    Each text is cut by itself, where it is, and never repeated for its marks;
+    texts without the string give nothing."""
+    rows = docs.select(*by, text.alias("_text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("pos", IntegerType()), StructField("name", StringType()), StructField("slice", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = len(by)
+        for b in (r for b in batches for r in _runs(b, last)):
+            found = []
+            for i, t in enumerate(b.column(last).to_pylist()):
+                first, *parts = (t or "").split(needle)
+                if parts and first:
+                    found.append((i, 0, opening, first))
+                at = len(first)
+                for n, p in enumerate(parts, 1):
+                    found.append((i, at, needle if n == 1 else f"{needle}_{n}", needle + p))
+                    at += len(needle) + len(p)
+            if found:
+                rows, *cols = zip(*found)
+                own = [c.take(pa.array(rows, pa.int32())) for c in b.columns[:last]]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.string())))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -33,8 +33,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def element_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages cut where paragraphs open; what stands before the first is the preamble."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    marks = markup_scan.positions(pages, ["page_id"], "html", "<p>").join(pages, "page_id")
-    return chunking.gaps(marks, ["page_id"], F.col("html")).select("page_id", "pos", "name", F.md5("slice").alias("slice"))
+    return chunking.sections(pages, ["page_id"], F.col("html"), "<p>").select("page_id", "pos", "name", F.md5("slice").alias("slice"))
 
 
 QUERIES = {"tag_inventory": tag_inventory, "strip_tags": strip_tags, "table_rows": table_rows, "element_sections": element_sections}

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexspan.functions import text
-from lexspan.operators import definitions, scopes, tree
+from lexspan.operators import chunking, definitions, markup_scan, scopes, tree
 
 
 def plan(df) -> str:
@@ -73,3 +73,14 @@ def test_conflicting_pairs_are_told_by_classes(spark):
     want = {(a, b) for a in c for b in c if a < b and where[a] == where[b] and value[a] is not None and value[b] is not None and value[a] != value[b]}
     told = {(a, b) for a in c for b in c if a < b and c[a][:3] == c[b][:3] and None not in (c[a].class_id, c[b].class_id) and c[a].class_id != c[b].class_id}
     assert told == want and sum(r.n_links for r in c.values()) == 2 * len(want)
+
+
+def test_sections_are_gaps_without_a_copy_of_the_text_for_each_mark(spark):
+    texts = ["a<p>b<p>ü😀<p>", "<p>x", "none", "", None, "<p><p>", "é<p>"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    marks = markup_scan.positions(d, ["id"], "t", "<p>").join(d, "id")
+    want = sorted(map(tuple, chunking.gaps(marks, ["id"], F.col("t")).select("id", "pos", "name", "slice").collect()))
+    got = chunking.sections(d, ["id"], F.col("t"), "<p>")
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 9
+    p = plan(__spark_entry__.queries()["element_sections"](spark, "/root/testdata/sf0.001"))
+    assert not any(x in p for x in ("Join", "Window", "Aggregate"))
