@@ -133,7 +133,8 @@ def chunks(units: DataFrame, key: Column, text: Column, breakpoints: Column, lim
     offsets are null.  Null and empty texts give no chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # a run at a time, as Python objects take far more memory than the batch
+        for b in (r for b in batches for r in _runs(b, 1)):
             rows = []
             for k, t, bp in zip(*(c.to_pylist() for c in b.columns)):
                 points = [(p["pos"], p["prio"]) for p in bp or []]

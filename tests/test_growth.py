@@ -1,5 +1,6 @@
 """What must not grow faster than its input, and results that hold for large keys."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,22 @@ def test_sections_are_gaps_without_a_copy_of_the_text_for_each_mark(spark):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 9
     p = plan(__spark_entry__.queries()["element_sections"](spark, "/root/testdata/sf0.001"))
     assert not any(x in p for x in ("Join", "Window", "Aggregate"))
+
+
+def test_chunks_come_out_while_a_batch_is_read(spark):
+    class Units:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    texts = ["word " * 400, None, ""] * 1000 + ["x" * 3_000_000, "ü y"]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts), pa.array([[]] * len(texts), pa.list_(pa.struct([("pos", pa.int32()), ("prio", pa.int32())])))], names=["key", "text", "breakpoints"])
+    got = list(chunking.chunks(Units(), F.col("key"), F.col("text"), F.array(), 1500)(iter([batch])))
+    assert len(got) > 4 and max(sum(map(len, b.column(4).to_pylist())) for b in got) <= 3_000_000
+    told: dict[str, str] = {}
+    for b in got:
+        for k, c in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
+            told[k] = told.get(k, "") + c
+    assert told == {str(i): t for i, t in enumerate(texts) if t}
