@@ -62,8 +62,8 @@ def high_conflict_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parent_defs_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers need the names of their parts; those that the supplier defines (even keys) come from it, others from the parent."""
-    needs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.concat(F.lit("*"), F.col("l_partkey").cast("string"), F.lit("*")).alias("ref_value")).distinct()
-    own = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").cast("string").alias("term")).distinct()
+    needs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.concat(F.lit("*"), F.col("l_partkey").cast("string"), F.lit("*")).alias("ref_value"))
+    own = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").cast("string").alias("term"))
     parent = table(spark, sf_dir, "part").where("p_size < 20").select(F.lit(0).alias("doc_id"), F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit('"')).alias("term"), F.col("p_name").alias("value"))
     return defs.from_parent(needs, own, parent).select("doc_id", "term", "value")
 

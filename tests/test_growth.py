@@ -104,3 +104,13 @@ def test_chunks_come_out_while_a_batch_is_read(spark):
         for k, c in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
             told[k] = told.get(k, "") + c
     assert told == {str(i): t for i, t in enumerate(texts) if t}
+
+
+def test_terms_that_the_child_leaves_open_take_no_sort_of_all_needs(spark):
+    needs = spark.createDataFrame([(1, "*A*"), (1, "a"), (1, "b"), (2, "a"), (2, "c"), (None, "a"), (3, None)], "doc_id long, ref_value string")
+    own = spark.createDataFrame([(1, "B"), (2, '"A"'), (None, "a"), (4, "a")], "doc_id long, term string")
+    parent = spark.createDataFrame([(0, '"a"', "va"), (0, "b", "vb"), (0, None, "n")], "doc_id long, term string, value string")
+    got = definitions.from_parent(needs, own, parent)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, '"a"', "va"), (None, '"a"', "va")]))
+    p = plan(got)
+    assert "LeftAnti" not in p and p.count("Aggregate") == 1
